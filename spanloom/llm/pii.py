@@ -1,0 +1,212 @@
+"""Personal data by candidate gradient boosting, in DataFrame functions alone.
+
+Generators with high recall propose spans that may overlap: the base patterns, whether or not their checks pass, and wider
+ones. Boosted trees score a candidate by its format and context; a threshold calibrated on the corpus selects. Base
+spans that pass their checks always stay. Trees are fitted on a table of distinct feature values with their counts, which the
+features bound (a few thousand rows at any input size), and become one Column expression."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from itertools import product
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The base kinds in their order. Possessive forms of the plain patterns: equal matches without
+# recursion or rescans on long runs.
+#   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
+#   ip    [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
+#   card  [0-9]([\x20-]?[0-9])+
+#   phone \+[0-9][\x20().0-9-]+[0-9]
+BASE = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: Wider generators: their spans need the trees' consent.
+WIDER = {
+    "xmail": r"[A-Za-z0-9._%+-]{2,64} ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]{2,64}(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?[A-Za-z0-9-]{2,24}){1,4}",
+    "xphone": r"(?<![0-9+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])",
+    "xid": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "xiban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+}
+#: What a text must hold for a generator to be tried.
+HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "xmail": "[\\[({] ?(?:at|AT) ?[\\])}]", "xphone": "[0-9][ .-][0-9]", "xid": "[0-9]-[0-9]", "xiban": "[A-Z]{2}[0-9]{2}"}
+CONTEXT = {"phone": "phone|tel|call|mobile|fax", "mail": "mail|contact|write", "card": "card|visa|iban|account|konto", "id": "ssn|social|passport|ident|born"}
+#: Features and how many values each has.
+SHAPE = {"digits": 6, "parts": 4, "letters": 2, "mark": 2, "context": 5, "left": 2, "right": 2}
+AROUND = 24
+
+
+def found(text: Column, kind: str) -> Column:
+    """array<struct<start, s>> of the leftmost non-overlapping matches, start in code points."""
+    pattern = BASE.get(kind) or WIDER[kind]
+    hit, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(between, hit, lambda gap, s: F.struct(F.length(gap).alias("gap"), s.alias("s")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,s:string>>").alias("out"))
+    fold = F.aggregate(
+        F.filter(pairs, lambda p: p["s"].isNotNull()),
+        start,
+        lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["s"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["s"].alias("s")))).alias("out")),
+        lambda a: a["out"],
+    )
+    return F.when(text.rlike(HINT[kind]), fold).otherwise(F.array().cast("array<struct<start:int,s:string>>"))
+
+
+def n_digits(s: Column) -> Column:
+    return F.length(F.regexp_replace(s, "[^0-9]", ""))
+
+
+def passes(kind: str, s: Column) -> Column:
+    if kind == "ip":
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+        return s.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
+    if kind == "card":
+        digits = F.regexp_replace(s, "[^0-9]", "")
+        return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    if kind == "phone":
+        return n_digits(s).between(9, 15)
+    return F.lit(True)
+
+
+def shape(text: Column, start: Column, s: Column) -> dict[str, Column]:
+    """Format and context of a candidate as small numbers, the keys of SHAPE."""
+    d, end = n_digits(s), start + F.length(s)
+    before = F.lower(F.substring(text, F.greatest(start + 1 - AROUND, F.lit(1)), F.least(start, F.lit(AROUND))))
+    context = F.lit(0)
+    for i, words in enumerate(CONTEXT.values(), 1):
+        context = F.when(before.rlike(words), i).otherwise(context)
+    near = lambda at: (at == "") | ~at.rlike("[A-Za-z0-9]")
+    left = F.when(start == 0, "").otherwise(F.substring(text, start, F.lit(1)))
+    parts = F.least(F.size(F.split(s, "[^A-Za-z0-9]+")) - 1, F.lit(3))
+    return {
+        "digits": F.when(d == 0, 0).when(d < 7, 1).when(d < 9, 2).when(d < 13, 3).when(d < 20, 4).otherwise(5),
+        "parts": parts,
+        "letters": s.rlike("[A-Za-z]").cast("int"),
+        "mark": s.rlike("[@+]").cast("int"),
+        "context": context,
+        "left": near(left).cast("int"),
+        "right": near(F.substring(text, end + 1, F.lit(1))).cast("int"),
+    }
+
+
+@dataclass
+class Trees:
+    """Boosted trees of depth two over SHAPE; a tree is (feature, cut, [(feature, cut, low, high)] of its two sides)."""
+
+    prior: float = 0.0
+    trees: list = field(default_factory=list)
+    threshold: float = 0.9
+
+    def column(self, features: dict[str, Column]) -> Column:
+        z = F.lit(self.prior)
+        for f, cut, sides in self.trees:
+            one, two = (F.when(features[g] <= c, low).otherwise(high) for g, c, low, high in sides)
+            z = z + F.when(features[f] <= cut, one).otherwise(two)
+        return 1 / (1 + F.exp(-z))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        names, z = list(SHAPE), np.full(len(x), self.prior)
+        for f, cut, sides in self.trees:
+            one, two = (np.where(x[:, names.index(g)] <= c, low, high) for g, c, low, high in sides)
+            z += np.where(x[:, names.index(f)] <= cut, one, two)
+        return 1 / (1 + np.exp(-z))
+
+
+def boost(x: np.ndarray, good: np.ndarray, bad: np.ndarray, rounds: int = 16, rate: float = 0.4, ridge: float = 1.0) -> Trees:
+    """Second-order boosting of the logistic loss on rows of distinct feature values with counts of either label."""
+    names, n = list(SHAPE), good + bad
+    model = Trees(prior=float(np.log((good.sum() + 1) / (bad.sum() + 1))))
+    cuts = [(i, c) for i, name in enumerate(names) for c in range(SHAPE[name] - 1)]
+    for _ in range(rounds):
+        p = model.score(x) if len(x) else np.zeros(0)
+        g, h = n * p - good, n * p * (1 - p)
+
+        def best(rows: np.ndarray) -> tuple[float, int, int, float, float]:
+            top = (-1.0, 0, 0, 0.0, 0.0)
+            for i, c in cuts:
+                low = rows & (x[:, i] <= c)
+                high = rows & ~low
+                gl, hl, gh, hh = g[low].sum(), h[low].sum() + ridge, g[high].sum(), h[high].sum() + ridge
+                gain = gl * gl / hl + gh * gh / hh
+                if gain > top[0] + 1e-12:
+                    top = (gain, i, c, float(-rate * gl / hl), float(-rate * gh / hh))
+            return top
+
+        every = np.ones(len(x), dtype=bool)
+        _, i, c, _, _ = best(every)
+        sides = [(names[t[1]], t[2], t[3], t[4]) for t in (best(x[:, i] <= c), best(x[:, i] > c))]
+        model.trees.append((names[i], c, sides))
+    return model
+
+
+def fit(docs: DataFrame, text_col: str = "text", precision: float = 0.95) -> Trees:
+    """Trees on all base candidates of docs: those that pass their checks against those that don't. The threshold is the
+    least score from which on the candidates' precision is at least `precision`; with no candidate of either label it stays 0.9."""
+    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    kinds = F.concat(*[F.transform(found(F.col("text"), k), lambda m, k=k: F.struct(m["start"].alias("start"), m["s"].alias("s"), passes(k, m["s"]).alias("good"))) for k in BASE])
+    each = text.select("text", F.explode(kinds).alias("m")).select("text", "m.*")
+    table = each.select("good", *[v.alias(k) for k, v in shape(F.col("text"), F.col("start"), F.col("s")).items()])
+    rows = table.groupBy(*SHAPE).agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")).collect()  # at most the product of SHAPE
+    assert len(rows) <= len(list(product(*map(range, SHAPE.values()))))
+    x = np.array([[r[k] for k in SHAPE] for r in rows], dtype=np.int64).reshape(-1, len(SHAPE))
+    good, bad = (np.array([r[k] for r in rows], dtype=np.float64) for k in ("yes", "no"))
+    order = np.lexsort(x.T[::-1]) if len(x) else []
+    x, good, bad = x[order], good[order], bad[order]
+    if not good.sum() or not bad.sum():
+        return Trees()
+    model = boost(x, good, bad)
+    s = model.score(x)
+    for t in np.unique(s):
+        on = s >= t
+        if good[on].sum() >= precision * (good[on].sum() + bad[on].sum()):
+            model.threshold = float(t)
+            break
+    return model
+
+
+def spans(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
+    """docs with __base and __more added: arrays of (kind, start, end), in the order of the kinds, then by start; __base: base
+    matches that pass; __more: candidates of the wider generators that the trees select and that no base span overlaps."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    span = lambda k, m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["s"])).alias("end"))
+    base = F.concat(*[F.transform(F.filter(found(text, k), lambda m, k=k: passes(k, m["s"])), lambda m, k=k: span(k, m)) for k in BASE])
+    wide = F.concat(*[F.transform(F.filter(found(text, k), lambda m: model.column(shape(text, m["start"], m["s"])) >= model.threshold), lambda m, k=k: span(k, m)) for k in WIDER])
+    clean = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    out = docs.withColumn("__base", F.when(text.rlike("[0-9@]"), base).otherwise(clean)).withColumn("__wide", F.when(text.rlike("[0-9]|[\\[({] ?(?:at|AT)"), wide).otherwise(clean))
+    apart = F.filter(F.col("__wide"), lambda w: ~F.exists(F.col("__base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return out.withColumn("__more", F.when(F.size("__wide") > 0, apart).otherwise(clean)).drop("__wide")
+
+
+def find(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_more, base_sha256, spans) for every row; spans is a string of kind:start:end,
+    joined by commas, code points, end exclusive.
+
+    Null counts as empty; texts without a span have counts 0 and an empty string. Rows that repeat an id are rows of
+    their own. A null id is returned as null. An empty table gives no rows. Without a model the trees are fitted on docs."""
+    model = model or fit(docs, text_col)
+    marked = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base, more = F.col("__base"), F.col("__more")
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return marked.select("doc_id", *counts, F.size(more).cast("long").alias("n_more"), F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, more)).alias("spans"))
+
+
+def redact(docs: DataFrame, model: Trees | None = None, text_col: str = "text") -> DataFrame:
+    """docs with each span of the text replaced by <kind>; overlapping spans become one, under the first's kind. Null texts stay null."""
+    model = model or fit(docs, text_col)
+    marked = spans(docs, model, text_col)
+    text = F.col(text_col)
+    ordered = F.array_sort(F.transform(F.concat("__base", "__more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    fold = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(
+            F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))
+        ),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+    )
+    return marked.withColumn(text_col, F.when(F.size("__base") + F.size("__more") > 0, fold).otherwise(text)).drop("__base", "__more")
