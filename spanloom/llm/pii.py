@@ -147,7 +147,11 @@ def fit(docs: DataFrame, text_col: str = "text", precision: float = 0.95) -> Tre
     """Trees on all base candidates of docs: those that pass their checks against those that don't. The threshold is the
     least score from which on the candidates' precision is at least `precision`; with no candidate of either label it stays 0.9."""
     text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    kinds = F.concat(*[F.transform(found(F.col("text"), k), lambda m, k=k: F.struct(m["start"].alias("start"), m["s"].alias("s"), passes(k, m["s"]).alias("good"))) for k in BASE])
+
+    def judged(kind: str) -> Column:
+        return F.transform(found(F.col("text"), kind), lambda m: F.struct(m["start"].alias("start"), m["s"].alias("s"), passes(kind, m["s"]).alias("good")))
+
+    kinds = F.concat(*map(judged, BASE))
     each = text.select("text", F.explode(kinds).alias("m")).select("text", "m.*")
     table = each.select("good", *[v.alias(k) for k, v in shape(F.col("text"), F.col("start"), F.col("s")).items()])
     rows = table.groupBy(*SHAPE).agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")).collect()  # at most the product of SHAPE
@@ -172,9 +176,15 @@ def spans(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """docs with __base and __more added: arrays of (kind, start, end), in the order of the kinds, then by start; __base: base
     matches that pass; __more: candidates of the wider generators that the trees select and that no base span overlaps."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    span = lambda k, m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["s"])).alias("end"))
-    base = F.concat(*[F.transform(F.filter(found(text, k), lambda m, k=k: passes(k, m["s"])), lambda m, k=k: span(k, m)) for k in BASE])
-    wide = F.concat(*[F.transform(F.filter(found(text, k), lambda m: model.column(shape(text, m["start"], m["s"])) >= model.threshold), lambda m, k=k: span(k, m)) for k in WIDER])
+
+    def chosen(kind: str, keep) -> Column:
+        return F.transform(F.filter(found(text, kind), keep), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["s"])).alias("end")))
+
+    def checked(kind: str) -> Column:
+        return chosen(kind, lambda m: passes(kind, m["s"]))
+
+    base = F.concat(*map(checked, BASE))
+    wide = F.concat(*[chosen(k, lambda m: model.column(shape(text, m["start"], m["s"])) >= model.threshold) for k in WIDER])
     clean = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     out = docs.withColumn("__base", F.when(text.rlike("[0-9@]"), base).otherwise(clean)).withColumn("__wide", F.when(text.rlike("[0-9]|[\\[({] ?(?:at|AT)"), wide).otherwise(clean))
     apart = F.filter(F.col("__wide"), lambda w: ~F.exists(F.col("__base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
@@ -191,7 +201,11 @@ def find(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id", te
     marked = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base, more = F.col("__base"), F.col("__more")
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     return marked.select("doc_id", *counts, F.size(more).cast("long").alias("n_more"), F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, more)).alias("spans"))
 
 
