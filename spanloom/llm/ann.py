@@ -62,7 +62,7 @@ class Index:
         return (four[:, 0::2, :, None] + four[:, 1::2, None, :]).reshape(len(unit), m // 2, 256).astype(np.float32)
 
 
-def fit(sample: np.ndarray, leaves: int, subspaces: int = 16, parallel: float = 4.0, steps: int = 8, seed: int = 5) -> Index:
+def fit(sample: np.ndarray, leaves: int, subspaces: int = 16, parallel: float = 4.0, steps: int = 4, seed: int = 5) -> Index:
     """Index of a bounded sample: spherical k-means for the centres, then codes and books in turn. A book's entry is the
     least-squares answer of its rows' anisotropic cost, the other subspaces held."""
     rng = np.random.default_rng(seed)
@@ -107,7 +107,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(a) * np.sqrt(b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, leaf_rows: int = 4096, probes: int = 8, rerank: int = 100, block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, leaf_rows: int = 8192, probes: int = 8, rerank: int = 400, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query's k nearest rows of vectors other than its own id, by cosine in double
     precision, nearest first, ties to the smaller id; all candidates, if there are fewer.
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,29 @@ _loaded: dict[str, "Vocabulary"] = {}
 SHORT = 40
 
 
+class Known:
+    """Words with their ids, one after the other."""
+
+    def __init__(self):
+        self.number, self._ids, self._counts = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, words: list[str], ids: list[np.ndarray]) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self._ids.append(np.concatenate(ids))
+        self._counts.append(np.array([len(x) for x in ids], dtype=np.int64))
+
+    def flat(self) -> np.ndarray:
+        self._ids = [np.concatenate(self._ids)]
+        return self._ids[0]
+
+    def counts(self) -> np.ndarray:
+        self._counts = [np.concatenate(self._counts)]
+        return self._counts[0]
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.counts()) - self.counts()
+
+
 class Vocabulary:
     """The pieces of a model file: normal pieces by their bytes, with ranks (0 joins first), and the ids of single bytes."""
 
@@ -65,44 +89,59 @@ class Vocabulary:
 
     # --- suffix array ---
 
-    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length, id) of all occurrences of pieces in data, sorted by place and length. Pieces end before a 0 byte."""
+    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place * 128 + length, id) of all occurrences of pieces in data, sorted. Pieces end before a 0 byte."""
         n, pad = len(data), self.steps * 8
         wide = np.concatenate([data, np.zeros(pad + 8, dtype=np.uint8)])
         word = np.zeros(n + pad, dtype=np.uint64)  # the eight bytes from each place on
         for j in range(8):
             word = (word << np.uint64(8)) | wide[j : j + n + pad]
-        # ranks of 8 bytes, doubled until they cover the longest piece
-        rank = np.unique(word[:n], return_inverse=True)[1].astype(np.int64)
-        have = 8
-        while have < pad:
-            after = np.zeros(n, dtype=np.int64)
-            after[: max(0, n - have)] = rank[have:] + 1
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
-            have *= 2
-        order = np.argsort(rank, kind="stable")
-        # binary search of all pieces at once: the first suffix not below the piece, and the first above all that start with it
-        bounds = []
-        tail = np.clip(self.lengths[:, None] - np.arange(self.steps)[None] * 8, 0, 8)
+        for j in range(1, 8):  # pieces end before a 0 byte, so nothing after it counts
+            word = np.where((word >> np.uint64(64 - 8 * j)) & np.uint64(255) == 0, (word >> np.uint64(64 - 8 * j)) << np.uint64(64 - 8 * j), word)
+        order = np.argsort(word[:n])
+        head = word[order]
+        # suffixes that agree in eight bytes and go on: sorted by the next eight, and so on
+        group = np.cumsum(np.concatenate([[0], head[1:] != head[:-1]])) if n else order
+        depth, last = 8, head
+        at = np.arange(n)
+        while depth < pad and len(at):
+            tied = np.concatenate([[False], group[at][1:] == group[at][:-1]])
+            tied |= np.concatenate([tied[1:], [False]])
+            at = at[tied & (last & np.uint64(255) != 0)]
+            if not len(at):
+                break
+            nxt = word[order[at] + depth]
+            sort = np.lexsort((nxt, group[at]))
+            order[at], last = order[at][sort], nxt[sort]
+            new = np.concatenate([[True], (group[at][1:] != group[at][:-1]) | (last[1:] != last[:-1])])
+            group[at] = np.maximum.accumulate(np.where(new, at + n, 0))
+            depth += 8
+        # binary search of all pieces: by their first eight bytes, and where they are longer by the rest within that range
+        low = self.keys[:, 0]
+        rest = np.where(self.lengths >= 8, np.uint64(0), ~np.uint64(0) >> (np.minimum(self.lengths, 7) * 8).astype(np.uint64))
+        first, end = np.searchsorted(head, low), np.searchsorted(head, low | rest, "right")
+        bounds = [first.copy(), end.copy()]
+        more = np.flatnonzero((self.lengths > 8) & (first < end))
+        tail = np.clip(self.lengths[more][:, None] - np.arange(self.steps)[None] * 8, 0, 8)
         mask = np.where(tail == 0, np.uint64(0), ~np.uint64(0) << ((8 - np.maximum(tail, 1)) * 8).astype(np.uint64))
         for above in (False, True):
-            lo, hi = np.zeros(len(self.ids), dtype=np.int64), np.full(len(self.ids), n, dtype=np.int64)
+            lo, hi = first[more], end[more]
             while (lo < hi).any():
                 mid = (lo + hi) >> 1
-                at = order[np.minimum(mid, n - 1)]
+                place = order[np.minimum(mid, n - 1)]
                 less, level = np.zeros(len(lo), dtype=bool), np.ones(len(lo), dtype=bool)
-                for s in range(self.steps):
-                    own = word[at + s * 8] & mask[:, s]
-                    less |= level & (own < self.keys[:, s])
-                    level &= own == self.keys[:, s]
+                for s in range(1, self.steps):
+                    own = word[place + s * 8] & mask[:, s]
+                    less |= level & (own < self.keys[more, s])
+                    level &= own == self.keys[more, s]
                 right = (less | level if above else less) & (lo < hi)
                 lo, hi = np.where(right, mid + 1, lo), np.where(right | (lo >= hi), hi, mid)
-            bounds.append(lo)
-        first, count = bounds[0], bounds[1] - bounds[0]
+            bounds[above][more] = lo
+        count = bounds[1] - bounds[0]
         which = np.repeat(np.arange(len(self.ids)), count)
-        place = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)] if n else np.zeros(0, np.int64)
-        sort = np.lexsort((self.lengths[which], place))
-        return place[sort], self.lengths[which][sort], self.ids[which][sort]
+        place = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - bounds[0], count)]
+        packed = np.sort(((place << 7) | self.lengths[which]) << 20 | self.ids[which])
+        return packed >> 20, packed & ((1 << 20) - 1)
 
     # --- relaxing ---
 
@@ -110,8 +149,7 @@ class Vocabulary:
         """Ids of each word, all in one index."""
         raw = [w.encode() for w in words]
         data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-        place, length, ids = self.edges(data)
-        key = place * 128 + length  # sorted
+        key, ids = self.edges(data)
         if self.lengths.max() >= 128:
             raise ValueError("pieces of 128 bytes or more")
         # symbols: the characters of all words
@@ -210,17 +248,37 @@ class Vocabulary:
 
     # --- texts ---
 
-    def encode(self, texts: list[str], cache: dict[str, np.ndarray]) -> list[np.ndarray]:
-        split = [_WORD.findall(MARK + t.replace(" ", MARK))[:-1] if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
+    def encode(self, texts: list[str], known: Known) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text). known: words encoded before."""
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, f"^ | $|  |{MARK}|^$").to_numpy(zero_copy_only=False).astype(bool)
+        # words of plain texts: told apart by single spaces, made distinct by Arrow
+        plain = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        coded = plain.values.dictionary_encode()
+        split = {int(i): _WORD.findall(MARK + texts[i].replace(" ", MARK))[:-1] if texts[i] else [] for i in np.flatnonzero(odd)}
+        own = [MARK + w for w in coded.dictionary.to_pylist()]
+        number = known.number
+        new = list({w for w in own if w not in number} | {w for words in split.values() for w in words if w not in number})
         lo, room = 0, 0
         for i, w in enumerate(new):
             room += len(w) + 1
-            if room > 1 << 18 or i == len(new) - 1:
-                cache.update(zip(new[lo : i + 1], self.encode_words(new[lo : i + 1]), strict=True))
+            if room > 1 << 20 or i == len(new) - 1:
+                known.add(new[lo : i + 1], self.encode_words(new[lo : i + 1]))
                 lo, room = i + 1, 0
-        none = np.zeros(0, np.int64)
-        return [np.concatenate([cache[w] for w in words]) if words else none for words in split]
+        here = np.array([number[w] for w in own], dtype=np.int64)[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+        n_words = np.zeros(len(texts), dtype=np.int64)
+        n_words[~odd] = np.diff(plain.offsets.to_numpy())
+        for i, words in split.items():
+            n_words[i] = len(words)
+        first = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+        which = np.zeros(first[-1], dtype=np.int64)
+        which[np.repeat(~odd, n_words)] = here
+        for i, words in split.items():
+            which[first[i] : first[i + 1]] = [number[w] for w in words]
+        count = known.counts()[which]
+        at = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        ids = known.flat()[np.arange(at[-1]) + np.repeat(known.starts()[which] - at[:-1], count)]
+        return ids, at[first]
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.special else self.texts[i].encode() for i in ids.tolist())
@@ -238,14 +296,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cache = Vocabulary.load(model_path), {}
+        vocabulary, known = Vocabulary.load(model_path), Known()
         for b in batches:
-            for lo, hi in slices(b.column(place)):
-                if len(cache) > 100_000:
-                    cache.clear()
-                got = vocabulary.encode([t or "" for t in b.column(place).slice(lo, hi - lo).to_pylist()], cache)
-                offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got).astype(np.int32)))
+            for lo, hi in slices(b.column(place), 8 << 20):
+                if len(known.number) > 400_000:
+                    known = Known()
+                ids, offsets = vocabulary.encode([t or "" for t in b.column(place).slice(lo, hi - lo).to_pylist()], known)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns], lists], names=[*b.schema.names, "piece_ids"])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
