@@ -11,6 +11,7 @@ and trees leave apart meets in further trees, block against block; no partner or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,7 @@ def _search(k: int, num: int, den: int):
         for b in batches:
             got = b.to_pydict()
             a, z = [], []
-            for key, *row in zip(zip(got["canon"], got["tree"], strict=True), got["doc_id"], got["label"], got["text"], strict=True):
+            for key, *row in zip(zip(map(str, got["canon"]), got["tree"], strict=True), got["doc_id"], got["label"], got["text"], strict=True):
                 if key != now:
                     if len(rows[0]) > 1:
                         x, y = group(*rows)
@@ -232,8 +233,16 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     prefixes = base.where("doc_id is not null").mapInArrow(_prefixes(k, num, den, rank), "doc_id long, prefix array<long>")
     keys = materialize(prefixes.where(F.size("prefix") > 0).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-prefix")
     keys = keys.select("doc_id", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").select("key", "canon")
-    member = materialize(keys.join(shared, "key").select("canon", "doc_id").distinct(), "ngram-groups")
+    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # sizes that may link lie in one band or in neighbouring ones, bands being a little wider than den / num; a document takes
+    # part in its own band and the one below, so two that may link share one of these
+    band = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int") if num < den else F.col("n").cast("int") * 2
+    sizes = classes.select(F.col("rep").alias("doc_id"), band.alias("own")).dropDuplicates(["doc_id"])
+    near = keys.join(common, "key").join(sizes, "doc_id").select("key", "doc_id", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
+    near = materialize(near, "ngram-near")
+    shared = near.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").drop("c")
+    member = near.join(shared, ["key", "band"]).groupBy("canon", "band", "doc_id").agg(F.count(F.lit(1)).alias("keys"))
+    member = materialize(member.select(F.struct("canon", "band").alias("canon"), "doc_id"), "ngram-groups")
     texts = materialize(base.join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
     count = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size"))
     placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
