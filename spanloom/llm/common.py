@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,10 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files of plans that nothing refers to any more go when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass finalises, the second frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)  # the cleaner works on its own thread
 
 
 def delete_tables(*tables: DataFrame) -> None:

@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 The join keeps every pair of documents whose shingle sets overlap by at least num / den. Documents with one
-set are one class. Classes meet in a group when they share a shingle among the rarest of each
-(prefix filter: sets that link must share one there). A group is searched by a signature tree: leaves of
+set are one class. Classes meet in a group when they agree in one of the parts that `parts` cuts every set into
+(sets that link differ in too few shingles to differ in every part). A group is searched by a signature tree: leaves of
 documents in order of size, nodes with the OR of their documents' token bitmaps and their range of sizes, a dual
 traversal that drops a pair of nodes when the sizes or the largest possible overlap rule a link out, and exact sets at the end.
 
@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import connected_components, materialize
-from spanloom.llm.textvec import Words, shingle_sets, slices
+from spanloom.llm.textvec import Words, mix, shingle_sets, slices
 
-CELLS, BLOCKS = 1 << 20, 64
 BITS, FAN = 1024, 16
 
 
@@ -30,60 +29,70 @@ BITS, FAN = 1024, 16
 
 
 def _digests(k: int):
-    """Of each document its set's size and fingerprint; at a task's end how many documents have shingles in each cell."""
+    """Of each document its set's size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
-        none = lambda n, t: pa.nulls(n, t)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for lo, hi in slices(texts):
                 sets = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-                cells += np.bincount((flat & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                flat = np.concatenate(sets)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 one, two = np.zeros(len(flat) + 1, np.uint64), np.zeros(len(flat) + 1, np.uint64)
                 np.cumsum(flat, out=one[1:])
                 np.cumsum((flat ^ (flat >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), out=two[1:])
                 f1, f2 = (x[at[1:]] - x[at[:-1]] for x in (one, two))
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), none(n, pa.int32()), none(n, pa.binary())], schema=schema)
-        if cells.any():
-            parts = cells.astype(np.int64).reshape(BLOCKS, -1)
-            null = none(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
 
     return run
 
 
-def _sum_cells(key, table):
-    total = np.zeros(CELLS // BLOCKS, dtype=np.int64)
-    for x in table.column("cells").to_pylist():
-        total += np.frombuffer(x, np.int64)
-    level = np.minimum(255, np.log2(total + 1) * 6).astype(np.uint8)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+SPARE = 3
 
 
-def _prefixes(k: int, num: int, den: int, level):
-    """Of each document the rarest shingles, one of which every partner's rarest shingles have too."""
+class Parts:
+    """Cuts of a set such that two sets that link agree in one part.
 
+    Sizes lie in bands a little wider than den / num, so sets that link lie in one band or in neighbours; a set takes part in its
+    own band's level and in the one below. With sizes up to `high` at a level, sets that link differ in at most
+    d = (den - num) * 2 * high / (den + num) shingles. Each shingle lies in one of d + 1 + SPARE ranges of hashes, so a set with more than d
+    ranges in use has one in use without a difference: that range's shingles are the same in both sets. The few
+    sets with fewer ranges in use give their empty ranges as parts too."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.step = math.log(den / num) * 1.0001 if num < den else 1.0
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        n, num, den = len(s), self.num, self.den
+        if not n or (n * den // num == n and -(-num * n // den) == n):  # only an equal set links
+            return np.zeros(0, dtype=np.uint64)
+        own = math.floor(math.log(n) / self.step)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25), out=total[1:])
+        out = []
+        for level in (own, own - 1):
+            high = math.floor(math.exp((level + 2) * self.step) * 1.000001) + 1
+            d = (den - num) * 2 * high // (den + num)
+            m = d + 1 + SPARE
+            edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
+            cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
+            part = mix((total[cut[1:]] - total[cut[:-1]]) + mix(np.arange(m, dtype=np.uint64) + np.uint64((level + 2) << 32)) * np.uint64(3))
+            used = cut[1:] > cut[:-1]
+            out.append(part if used.sum() <= d else part[used])
+        return np.concatenate(out)
+
+
+def _parts(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(level.value, np.uint8)
+        parts = Parts(num, den)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for lo, hi in slices(texts):
-                out = []
-                for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k):
-                    n = len(s)
-                    p = n - -(-num * n // den) + 1 if n else 0
-                    order = np.argsort(rank[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[:p]
-                    out.append(s[order].view(np.int64))
-                flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+                out = [parts.of(s).view(np.int64) for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                arrays = [ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))], names=["doc_id", "parts"])
 
     return run
 
@@ -189,7 +198,7 @@ def _search(k: int, num: int, den: int):
         for b in batches:
             got = b.to_pydict()
             a, z = [], []
-            for key, *row in zip(zip(map(str, got["canon"]), got["tree"], strict=True), got["doc_id"], got["label"], got["text"], strict=True):
+            for key, *row in zip(zip(got["canon"], got["tree"], strict=True), got["doc_id"], got["label"], got["text"], strict=True):
                 if key != now:
                     if len(rows[0]) > 1:
                         x, y = group(*rows)
@@ -218,31 +227,19 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     a component. Rows with a null id get the size of their set and a null component. An empty table gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digest = materialize(base.mapInArrow(_digests(k), "doc_id long, n long, f1 long, f2 long, block int, cells binary"), "ngram-digest")
-    levels = digest.where("cells is not null").select("block", "cells").groupBy("block").applyInArrow(_sum_cells, "block int, level binary")
-    got = {r[0]: bytes(r[1]) for r in levels.collect()}  # CELLS bytes in all, whatever the input
-    rank = spark.sparkContext.broadcast(b"".join(got.get(b, bytes(CELLS // BLOCKS)) for b in range(BLOCKS)))
-    sized = digest.where("cells is null").select("doc_id", "n", "f1", "f2")
+    sized = materialize(base.mapInArrow(_digests(k), "doc_id long, n long, f1 long, f2 long"), "ngram-digest")
 
     # one document for each set
     real = sized.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    # candidates: classes that share one of the rarest shingles, under the smallest class of each such shingle
-    prefixes = base.where("doc_id is not null").mapInArrow(_prefixes(k, num, den, rank), "doc_id long, prefix array<long>")
-    keys = materialize(prefixes.where(F.size("prefix") > 0).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-prefix")
-    keys = keys.select("doc_id", F.explode("prefix").alias("key"))
-    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    # sizes that may link lie in one band or in neighbouring ones, bands being a little wider than den / num; a document takes
-    # part in its own band and the one below, so two that may link share one of these
-    band = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int") if num < den else F.col("n").cast("int") * 2
-    sizes = classes.select(F.col("rep").alias("doc_id"), band.alias("own")).dropDuplicates(["doc_id"])
-    near = keys.join(common, "key").join(sizes, "doc_id").select("key", "doc_id", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
-    near = materialize(near, "ngram-near")
-    shared = near.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").drop("c")
-    member = near.join(shared, ["key", "band"]).groupBy("canon", "band", "doc_id").agg(F.count(F.lit(1)).alias("keys"))
-    member = materialize(member.select(F.struct("canon", "band").alias("canon"), "doc_id"), "ngram-groups")
+    # candidates: classes that agree in a part, under the smallest class of each such part
+    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "doc_id long, parts array<long>").where(F.size("parts") > 0)
+    cuts = materialize(cuts.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-parts")
+    parts = cuts.select("doc_id", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").select("part", "canon")
+    member = materialize(parts.join(shared, "part").groupBy("canon", "doc_id").agg(F.count(F.lit(1)).alias("parts")).select("canon", "doc_id"), "ngram-groups")
     texts = materialize(base.join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
     count = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size"))
     placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
