@@ -1,9 +1,376 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the library with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from spanloom.functions import spans as S
+from spanloom.operators import evaluate as E
+from spanloom.operators import sampling, text
+from spanloom.plans.views import Views, sql
+
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(body: str, name: str | None = None, **more: str):
+    """Registers a function of the views under its name, and the SQL of its result."""
+
+    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        _QUERIES[name or f.__name__] = f
+        _SQL[name or f.__name__] = sql(body, **more)
+        return f
+
+    return add
+
+
+# --- scans, joins, counts ---
+
+
+@query("SELECT d.doc_id, count(*) AS n FROM docmeta d JOIN anns a USING (doc_id) WHERE status = 'approved' AND is_annotated GROUP BY 1")
+def doc_ids_by_annotated_segments(v):
+    return v.anns.join(v.docmeta.where("status = 'approved' and is_annotated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "doc_id")
+
+
+@query("SELECT doc_id, filename, status, length(content) AS n FROM docmeta")
+def doc_lookup(v):
+    return v.docmeta.select("doc_id", "filename", "status", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT s.segment_id, s.doc_id, s.segment_index, s.span_start, s.span_end, a.span_start AS title_start, a.span_end AS title_end FROM segs s JOIN anns a ON a.segment_id = s.segment_id AND a.label = 'title'")
+def segment_scan(v):
+    title = v.anns.where("label = 'title'").select("segment_id", F.col("span_start").alias("title_start"), F.col("span_end").alias("title_end"))
+    return v.segs.join(title, "segment_id").select("segment_id", "doc_id", "segment_index", "span_start", "span_end", "title_start", "title_end")
+
+
+@query("SELECT count(*) AS n FROM (SELECT doc_id FROM docmeta d WHERE status = 'approved' AND EXISTS (SELECT 1 FROM anns a WHERE a.doc_id = d.doc_id))")
+def matching_doc_count(v):
+    return v.docmeta.where("status = 'approved'").join(v.anns.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, segment_index, segment_id, span_start, span_end, length(text) AS char_length FROM segs")
+def segments_unnest(v):
+    return v.segs.select("doc_id", "segment_index", "segment_id", "span_start", "span_end", F.length("text").cast("long").alias("char_length"))
+
+
+@query("SELECT d.doc_id, length(text) AS char_length, coalesce(t, false) AS has_title, coalesce(a, false) AS has_author FROM documents d LEFT JOIN (SELECT doc_id, bool_or(label = 'title') AS t, bool_or(label = 'author') AS a FROM anns GROUP BY 1) x USING (doc_id)")
+def doc_meta(v):
+    has = v.anns.groupBy("doc_id").agg(F.bool_or(F.col("label") == "title").alias("t"), F.bool_or(F.col("label") == "author").alias("a"))
+    no = F.lit(False)
+    return v.docs.join(has, "doc_id", "left").select("doc_id", F.length("text").cast("long").alias("char_length"), F.coalesce("t", no).alias("has_title"), F.coalesce("a", no).alias("has_author"))
+
+
+@query("SELECT segment_id, left(text, 80) AS preview FROM segs")
+def segment_preview(v):
+    return v.segs.select("segment_id", F.substring("text", 1, 80).alias("preview"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'segments', count(*) FROM segs UNION ALL SELECT 'annotations', count(*) FROM anns")
+def table_counts(v):
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    return one(v.docs, "documents").union(one(v.segs, "segments")).union(one(v.anns, "annotations"))
+
+
+@query("SELECT status, count(*) AS n FROM docmeta GROUP BY 1")
+def value_counts(v):
+    return v.docmeta.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (t > 0) AS title, count(*) FILTER (a > 0) AS author, count(*) FILTER (t > 0 AND a > 0) AS both_spans, count(*) FILTER (t = 0 AND a = 0) AS neither FROM (SELECT s.segment_id, count(*) FILTER (label = 'title') AS t, count(*) FILTER (label = 'author') AS a FROM segs s LEFT JOIN anns USING (segment_id) GROUP BY 1)")
+def span_coverage(v):
+    has = v.segs.select("segment_id").join(v.anns.select("segment_id", "label"), "segment_id", "left").groupBy("segment_id").agg(F.count_if(F.col("label") == "title").alias("t"), F.count_if(F.col("label") == "author").alias("a"))
+    t, a = F.col("t") > 0, F.col("a") > 0
+    return has.agg(F.count(F.lit(1)).alias("total"), F.count_if(t).alias("title"), F.count_if(a).alias("author"), F.count_if(t & a).alias("both_spans"), F.count_if(~t & ~a).alias("neither"))
+
+
+@query("SELECT count(DISTINCT doc_id) AS n FROM docmeta JOIN anns USING (doc_id) WHERE status = 'approved'")
+def approved_docs_distinct(v):
+    return v.docmeta.where("status = 'approved'").join(v.anns.select("doc_id"), "doc_id").agg(F.countDistinct("doc_id").alias("n"))
+
+
+@query("SELECT segment_id, segment_index FROM segs WHERE segment_id NOT IN (SELECT segment_id FROM preds)")
+def resume_anti_join(v):
+    return v.segs.select("segment_id", "segment_index").join(v.preds.select("segment_id").distinct(), "segment_id", "left_anti")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 6 AS worker FROM documents")
+def modulo_partition(v):
+    # positions by ranges: the rows before a block of ids, then the place within the block
+    d = v.docs.select("doc_id", F.floor(F.col("doc_id") / 1000).alias("block"))
+    before = d.groupBy("block").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1
+    return d.join(before, "block").select("doc_id", (place % 6).alias("worker"))
+
+
+@query("SELECT doc_id, coalesce(split, 'train') AS split FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'val' ELSE 'test' END AS split FROM labels) USING (doc_id)")
+def split_lookup(v):
+    known = v.read("labels").select("doc_id", F.when(F.col("quality") == 1, "val").otherwise("test").alias("split"))
+    return v.docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+@query("SELECT DISTINCT s.doc_id, s.segment_id, s.text FROM segs s JOIN preds p USING (segment_id) JOIN docmeta d ON d.doc_id = s.doc_id AND d.is_annotated")
+def collect_test_segments(v):
+    keys = v.preds.select("segment_id").distinct()
+    return v.segs.join(keys, "segment_id").join(v.docmeta.where("is_annotated").select("doc_id"), "doc_id", "left_semi").select("doc_id", "segment_id", "text")
+
+
+@query("SELECT doc_id, segment_count, annotation_count FROM (SELECT doc_id, count(*) AS segment_count FROM segs GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS annotation_count FROM anns GROUP BY 1) USING (doc_id)")
+def index_from_documents(v):
+    return v.segs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count")).join(v.anns.groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotation_count")), "doc_id", "left")
+
+
+@query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS span_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def passage_spans(v):
+    b = v.read("benchmark").select("item_id", F.col("text").alias("passage")).withColumn("word", F.element_at(F.split("passage", " "), 2))
+    # documents meet only the passages whose second word they have
+    words = v.docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
+    met = words.join(b, "word").join(v.docs.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)"))
+    return met.select("item_id", "doc_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("span_start")).distinct()
+
+
+# --- text, windows, labels ---
+
+
+@query(r"SELECT segment_id FROM segs WHERE NOT regexp_full_match(text, '\s*')")
+def nonblank_segments(v):
+    return v.segs.where(~F.col("text").rlike("(?U)^\\s*$")).select("segment_id")
+
+
+@query('SELECT segment_id, tok, piece, start, "end" FROM toks')
+def tokens(v):
+    return v.toks.select("segment_id", F.col("tok").cast("long").alias("tok"), "piece", "start", "end")
+
+
+@query("SELECT segment_id, label, span_start, span_end, text FROM anns")
+def flat_annotations(v):
+    return v.anns.select("segment_id", "label", "span_start", "span_end", "text")
+
+
+@query("SELECT segment_id, label, span_start, span_end, text FROM preds")
+def span_text(v):
+    return v.preds.select("segment_id", "label", "span_start", "span_end", "text")
+
+
+_WINDOWS = {
+    "raw_windows": "SELECT segment_id, n_tok, side, i AS slide_index, CASE side WHEN 'full' THEN 0 WHEN 'begin' THEN i * 8 ELSE greatest(n_tok - i * 8 - 16, 0) END AS start_tok, CASE side WHEN 'full' THEN n_tok WHEN 'begin' THEN least(i * 8 + 16, n_tok) ELSE n_tok - i * 8 END AS end_tok FROM n_toks CROSS JOIN (SELECT 'full' AS side, 0 AS i UNION ALL SELECT s, i FROM (VALUES ('begin'), ('end')) t(s), range(4) r(i)) WHERE (side = 'full') = (n_tok <= 16) AND CASE side WHEN 'begin' THEN i * 8 < n_tok WHEN 'end' THEN n_tok - i * 8 > 0 ELSE true END",
+    "windows": "SELECT * FROM raw_windows w WHERE NOT EXISTS (SELECT 1 FROM raw_windows v WHERE v.segment_id = w.segment_id AND (v.side, v.slide_index) <> (w.side, w.slide_index) AND v.start_tok <= w.start_tok AND w.end_tok <= v.end_tok)",
+}
+
+
+@query("SELECT segment_id, side, CAST(slide_index AS BIGINT) AS slide_index, start_tok, end_tok FROM windows", **_WINDOWS)
+def slide_windows(v):
+    w = text.slide_windows(v.n_toks, 16, 8, 4)
+    return w.select("segment_id", "side", *[F.col(c).cast("long").alias(c) for c in ("slide_index", "start_tok", "end_tok")])
+
+
+@query('SELECT w.segment_id, w.side, CAST(w.slide_index AS BIGINT) AS slide_index, a.label, a.span_start - b.s AS span_start, a.span_end - b.s AS span_end FROM windows w JOIN (SELECT w.segment_id, w.side, w.slide_index, min(start) AS s, max("end") AS e FROM windows w JOIN toks t ON t.segment_id = w.segment_id AND tok >= start_tok AND tok < end_tok GROUP BY ALL) b USING (segment_id, side, slide_index) JOIN anns a ON a.segment_id = w.segment_id AND a.span_start >= b.s AND a.span_end <= b.e', **_WINDOWS)
+def window_annotations(v):
+    w = text.slide_windows(v.n_toks, 16, 8, 4)
+    edge = w.join(v.toks.select("segment_id", "tok", "start", "end"), "segment_id").where("tok >= start_tok and tok < end_tok")
+    edge = edge.groupBy("segment_id", "side", "slide_index").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    hit = edge.join(v.anns.select("segment_id", "label", "span_start", "span_end"), "segment_id").where("span_start >= s and span_end <= e")
+    return hit.select("segment_id", "side", F.col("slide_index").cast("long").alias("slide_index"), "label", (F.col("span_start") - F.col("s")).alias("span_start"), (F.col("span_end") - F.col("s")).alias("span_end"))
+
+
+@query("SELECT CASE WHEN n_tok <= 16 THEN 'short' WHEN n_tok <= 64 THEN 'medium' ELSE 'long' END AS tier, count(*) AS segments, min(c) AS least, max(c) AS most, sum(c) AS windows FROM (SELECT segment_id, n_tok, count(*) AS c FROM windows GROUP BY ALL) GROUP BY 1", **_WINDOWS)
+def tier_window_stats(v):
+    per = text.slide_windows(v.n_toks, 16, 8, 4).groupBy("segment_id", "n_tok").agg(F.count(F.lit(1)).alias("c"))
+    return per.groupBy(S.tier(F.col("n_tok"), 16, 64).alias("tier")).agg(F.count(F.lit(1)).alias("segments"), F.min("c").alias("least"), F.max("c").alias("most"), F.sum("c").alias("windows"))
+
+
+_OVER = 'SELECT t.segment_id, tok, start, "end", label, span_start AS s, span_end AS e, row_number() OVER (PARTITION BY t.segment_id, tok ORDER BY span_start, span_start - span_end, label) AS o, tok = min(tok) OVER (PARTITION BY t.segment_id, label, span_start, span_end) AS first FROM toks t JOIN anns a ON a.segment_id = t.segment_id AND start < span_end AND "end" > span_start'
+_TAGS = {"over_ann": _OVER, "tag_rows": "SELECT segment_id, tok, arg_max((CASE WHEN first THEN 'B-' ELSE 'I-' END) || upper(label), o) AS tag FROM over_ann x WHERE label = (SELECT y.label FROM over_ann y WHERE y.segment_id = x.segment_id AND y.tok = x.tok AND y.o = 1) GROUP BY ALL"}
+
+
+@query("SELECT t.segment_id, t.tok, coalesce(tag, 'O') AS tag FROM toks t LEFT JOIN tag_rows r USING (segment_id, tok)", **_TAGS)
+def bio_tags(v):
+    return text.bio_tags(v.toks, v.anns).select("segment_id", F.col("tok").cast("long").alias("tok"), "tag")
+
+
+_RUNS = {
+    "tagged": "SELECT t.segment_id, t.tok, start, \"end\", coalesce(tag, 'O') AS tag FROM toks t LEFT JOIN tag_rows r USING (segment_id, tok)",
+    "cuts": "SELECT *, sum(CASE WHEN left(tag, 1) = 'I' AND substring(p, 3) = substring(tag, 3) THEN 0 ELSE 1 END) OVER (PARTITION BY segment_id ORDER BY tok) AS island FROM (SELECT *, lag(tag) OVER (PARTITION BY segment_id ORDER BY tok) AS p FROM tagged)",
+}
+
+
+@query("SELECT segment_id, lower(substring(min(tag), 3)) AS label, min(start) AS span_start, max(\"end\") AS span_end FROM cuts WHERE tag <> 'O' GROUP BY segment_id, island HAVING arg_min(left(tag, 1), tok) = 'B'", **_TAGS, **_RUNS)
+def bio_to_spans(v):
+    return text.bio_spans(text.bio_tags(v.toks, v.anns)).select("segment_id", "label", "span_start", "span_end")
+
+
+@query("SELECT k, label, count(*) AS total, count(*) FILTER (n_tok <= 2 * k OR hi < k OR lo >= n_tok - k) AS captured FROM (SELECT a.segment_id, a.label, min(tok) AS lo, max(tok) AS hi FROM anns a JOIN toks t ON t.segment_id = a.segment_id AND start < span_end AND \"end\" > span_start GROUP BY ALL) JOIN n_toks USING (segment_id), (VALUES (4), (8), (16), (32)) t(k) GROUP BY ALL")
+def capture_at_k(v):
+    over = v.anns.select("segment_id", "label", "span_start", "span_end").join(v.toks.select("segment_id", "tok", "start", "end"), "segment_id").where("start < span_end and end > span_start")
+    span = over.groupBy("segment_id", "label").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi")).join(v.n_toks, "segment_id").withColumn("k", F.explode(F.array(*map(F.lit, (4, 8, 16, 32)))))
+    hit = F.expr("n_tok <= 2 * k or hi < k or lo >= n_tok - k")
+    return span.groupBy("k", "label").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("captured"))
+
+
+# --- profiles ---
+
+
+@query("SELECT label, count(*) AS n, round(avg(span_end - span_start), 6) AS mean_length FROM anns GROUP BY 1")
+def label_stats(v):
+    return v.anns.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("span_end") - F.col("span_start")), 6).alias("mean_length"))
+
+
+@query("SELECT CASE WHEN length(text) < 1000 THEN 'short' WHEN length(text) < 5000 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def length_buckets(v):
+    return v.docs.groupBy(S.bucket(F.length("text"), 1000, 5000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS documents, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, (SELECT n FROM (SELECT n_chars AS n, row_number() OVER (ORDER BY n_chars) AS r FROM documents) WHERE r = (SELECT count(*) // 2 + 1 FROM documents)) AS upper_median FROM (SELECT n_chars AS n FROM documents)")
+def export_profile(v):
+    # the upper median from counts of each length, which are far fewer than documents
+    per = v.docs.groupBy(F.col("n_chars").alias("n")).count()
+    total = per.agg(F.sum("count").alias("documents"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.sum(F.col("n") * F.col("count")) / F.sum("count"), 6).alias("mean"))
+    upto = per.withColumn("upto", F.sum("count").over(Window.orderBy("n")))
+    median = upto.crossJoin(F.broadcast(total)).where("upto >= floor(documents / 2) + 1").agg(F.min("n").alias("upper_median"))
+    return total.crossJoin(median)
+
+
+@query("SELECT doc_id, stratum FROM strata")
+def doc_strata(v):
+    return v.strata
+
+
+_SPLIT = {
+    "ordered": "SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM strata",
+    "sized": "SELECT *, greatest(1, round_even(n * 0.89::DOUBLE, 0)) AS a0, greatest(1, round_even(n * 0.01::DOUBLE, 0)) AS b0 FROM ordered",
+    "shares": "SELECT *, CASE WHEN n <= 2 THEN 1 WHEN a0 + b0 >= n THEN n - 2 ELSE a0 END AS a, CASE WHEN n = 1 THEN 0 WHEN n = 2 OR a0 + b0 >= n THEN 1 ELSE b0 END AS b FROM sized",
+    "splits": "SELECT doc_id, stratum, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS split FROM shares",
+}
+
+
+@query("SELECT doc_id, stratum, split FROM splits", **_SPLIT)
+def stratified_split(v):
+    return sampling.stratified_split(v.strata)
+
+
+@query("SELECT split, stratum, count(*) AS documents FROM splits GROUP BY ALL", **_SPLIT)
+def split_report(v):
+    return sampling.stratified_split(v.strata).groupBy("split", "stratum").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= (SELECT greatest(1, count(*) // 5) FROM documents)")
+def subsample(v):
+    return sampling.subsample(v.docs.select("doc_id"), "doc_id", 0.2)
+
+
+_BALANCE = {
+    "has": "SELECT s.segment_id AS key, s.doc_id || '' AS segment_id, count(a.label) > 0 AS has_entity, bool_or(coalesce(a.label, '') = 'author') AS own_author FROM segs s LEFT JOIN anns a USING (segment_id) GROUP BY ALL",
+    "ranked": "SELECT *, bool_or(own_author) OVER (PARTITION BY segment_id) AS has_author, count(*) FILTER (has_entity) OVER (PARTITION BY segment_id) AS entity, row_number() OVER (PARTITION BY segment_id, has_entity ORDER BY md5('42:' || key), key) AS r FROM has",
+}
+
+
+@query("SELECT key, segment_id, c AS copy FROM ranked, range(1, 3) t(c) WHERE (has_entity OR r <= round_even(entity * 2.0, 0)) AND (c = 1 OR (has_entity AND has_author))", **_BALANCE)
+def balance_windows(v):
+    has = v.segs.select(F.col("segment_id").alias("key"), F.col("doc_id").cast("string").alias("segment_id")).join(v.anns.select(F.col("segment_id").alias("key"), "label"), "key", "left")
+    w = has.groupBy("key", "segment_id").agg((F.count("label") > 0).alias("has_entity"), F.coalesce(F.bool_or(F.col("label") == "author"), F.lit(False)).alias("own"))
+    w = w.withColumn("has_author", F.bool_or("own").over(Window.partitionBy("segment_id"))).drop("own")
+    return sampling.balance(w).select("key", "segment_id", F.col("copy").cast("long").alias("copy"))
+
+
+# --- matching ---
+
+_COND = {"iou50": "iou >= 0.5", "iou80": "iou >= 0.8", "text": "same", "start": "abs(gs - ps) <= 5", "end": "abs(ge - pe) <= 5", "both": "abs(gs - ps) <= 5 AND abs(ge - pe) <= 5", "relaxed": "abs(gs - ps) <= 5 AND abs(ge - pe) <= 5 AND inter > 0"}
+
+
+def _hits(cond: str) -> dict[str, str]:
+    # a segment has one gold span of a label at most, so a greedy match is any match
+    return {"hits": f"SELECT segment_id, count(DISTINCT label) AS tp FROM pairs2 WHERE {cond} GROUP BY 1", "per_row": "SELECT segment_id, coalesce(tp, 0) AS tp, p - coalesce(tp, 0) AS fp, g - coalesce(tp, 0) AS fn FROM gp LEFT JOIN hits USING (segment_id)"}
+
+
+for _name, _cond in _COND.items():
+    query("SELECT segment_id, tp, fp, fn FROM per_row", f"greedy_match_{_name}", **_hits(_cond))(lambda v, n=_name: E.counts(v.rows, n).select("segment_id", "tp", "fp", "fn"))
+
+
+@query("SELECT segment_id, tp, fp, fn FROM per_row", **_hits("gs = ps AND ge = pe"))
+def exact_match(v):
+    return E.counts(v.rows, "exact").select("segment_id", "tp", "fp", "fn")
+
+
+@query("SELECT segment_id, label, gs, ge, ps, pe, round(iou, 6) AS iou FROM pairs2")
+def span_pairs(v):
+    g = v.anns.select("segment_id", "label", F.struct("span_start", "span_end").alias("g"))
+    p = v.preds.select("segment_id", "label", F.struct("span_start", "span_end").alias("p"))
+    j = g.join(p, ["segment_id", "label"])
+    return j.select("segment_id", "label", F.col("g.span_start").alias("gs"), F.col("g.span_end").alias("ge"), F.col("p.span_start").alias("ps"), F.col("p.span_end").alias("pe"), F.round(S.iou(F.col("g"), F.col("p")), 6).alias("iou"))
+
+
+_PRF = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"
+
+
+@query(f"SELECT tp, fp, fn, {_PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per_row)", **_hits("iou >= 0.5"))
+def micro_prf(v):
+    return E.with_prf(E.counts(v.rows, "iou50").agg(*E.totals()))
+
+
+def _family(name: str, cond: str) -> str:
+    return f"SELECT '{name}' AS family, CAST(sum(h) AS BIGINT) AS tp, CAST(sum(p - h) AS BIGINT) AS fp, CAST(sum(g - h) AS BIGINT) AS fn FROM (SELECT g, p, coalesce(tp, 0) AS h FROM gp LEFT JOIN (SELECT segment_id, count(DISTINCT label) AS tp FROM pairs2 WHERE {cond} GROUP BY 1) USING (segment_id))"
+
+
+@query(f"SELECT *, {_PRF} FROM (" + " UNION ALL ".join(_family(k, c) for k, c in {"exact": "gs = ps AND ge = pe", **_COND}.items()) + ")")
+def row_metrics(v):
+    """All match families in one pass over the rows."""
+    rows = v.rows
+    families = ["exact", *S.MATCHES]
+    tp = {"exact": S.exact_hits(F.col("gold"), F.col("pred"))[0]} | {n: S.greedy(F.col("gold"), F.col("pred"), m) for n, m in S.MATCHES.items()}
+    each = rows.select(F.size("gold").alias("g"), F.size("pred").alias("p"), F.explode(F.array(*[F.struct(F.lit(n).alias("family"), tp[n].alias("tp")) for n in families])).alias("x"))
+    sums = each.groupBy(F.col("x.family").alias("family")).agg(F.sum("x.tp").alias("tp"), F.sum(F.col("p") - F.col("x.tp")).alias("fp"), F.sum(F.col("g") - F.col("x.tp")).alias("fn"))
+    return E.with_prf(sums)
+
+
+@query(f"SELECT tp, fp, fn, {_PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT x.* FROM per_row x JOIN segs USING (segment_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tp > 0 DESC, CASE WHEN tp > 0 THEN -segment_index ELSE segment_index END) = 1))", **_hits("gs = ps AND ge = pe"))
+def segment_dedup_metrics(v):
+    return E.with_prf(E.last_hit_rows(E.counts(v.rows, "exact")).agg(*E.totals()))
+
+
+@query("SELECT segment_id, round(iou, 6) AS iou, ps - gs AS start_delta, pe - ge AS end_delta FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, gs, ge, label, ps, pe) AS r FROM pairs2) WHERE r = 1")
+def row_offset_diag(v):
+    return E.best_pairs(v.rows).select("segment_id", "iou", "start_delta", "end_delta")
+
+
+@query("SELECT count(*) AS paired, round(avg(iou), 6) AS mean_iou, round(quantile_cont(abs(d), 0.5), 6) AS median_start, round(quantile_cont(abs(d), 0.9), 6) AS p90_start, count(*) FILTER (abs(d) <= 5) AS within_5 FROM (SELECT iou, ps - gs AS d, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, gs, ge, label, ps, pe) AS r FROM pairs2) WHERE r = 1")
+def offset_diagnostics(v):
+    d = E.best_pairs(v.rows).withColumn("d", F.abs("start_delta"))
+    return d.agg(F.count(F.lit(1)).alias("paired"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.percentile("d", 0.5), 6).alias("median_start"), F.round(F.percentile("d", 0.9), 6).alias("p90_start"), F.count_if(F.col("d") <= 5).alias("within_5"))
+
+
+@query("SELECT count(*) AS completed, (SELECT count(*) FROM segs) AS total, round(100.0 * count(*) / (SELECT count(*) FROM segs), 2) AS percent FROM (SELECT DISTINCT segment_id FROM preds)")
+def progress(v):
+    done = v.preds.agg(F.countDistinct("segment_id").alias("completed"))
+    return done.crossJoin(v.segs.agg(F.count(F.lit(1)).alias("total"))).withColumn("percent", F.round(F.lit(100.0) * F.col("completed") / F.col("total"), 2))
+
+
+# --- generative rows ---
+
+
+@query("SELECT segment_id, label, span_start AS start, span_end AS \"end\" FROM anns")
+def parse_spans(v):
+    """Spans from the JSON that a generative model would emit, with prose around it."""
+    spans = F.collect_list(F.struct("text", F.col("label"), F.col("span_start").alias("start"), F.col("span_end").alias("end")))
+    said = v.anns.groupBy("segment_id").agg(F.concat(F.lit("Answer: "), F.to_json(F.struct(spans.alias("spans"))), F.lit(" done.")).alias("raw"))
+    kind = "struct<spans:array<struct<text:string,label:string,start:bigint,end:bigint>>>"
+    parsed = F.coalesce(F.when(F.trim("raw").startswith("{"), F.from_json("raw", kind)), F.from_json(F.regexp_extract("raw", "\\{[\\s\\S]*\\}", 0), kind))
+    return said.select("segment_id", F.explode(parsed["spans"]).alias("s")).select("segment_id", "s.label", "s.start", "s.end")
+
+
+@query("SELECT segment_id, '### Instruction: Extract spans.' || chr(10) || '### Input: ' || text AS prompt FROM segs")
+def prompts(v):
+    return v.segs.select("segment_id", F.concat(F.lit("### Instruction: Extract spans.\n### Input: "), F.col("text")).alias("prompt"))
+
+
+def _bind(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: f(Views(spark, folder))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _bind(f) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
