@@ -77,7 +77,7 @@ def pack(docs: DataFrame, ranks_path: str, capacity: int = 1024, id_col: str = "
 
     A document is its text's ids and an id 0 at the end; null counts as empty (the 0 alone). Tasks pack as they read, in
     groups of `group` sequences: a group's last document is cut so that its sequences are full, and the rest goes to the next
-    group, so each task pads one sequence at most. sequence_id is the task's number times 2 ** 33 and a running number; offsets are
+    group, so a task's padding comes to less than one sequence. sequence_id is the task's number times 2 ** 33 and a running number; offsets are
     gapless from 0. Rows that repeat an id are documents of their own. A null id is returned as null. An empty table gives no rows."""
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -1,0 +1,274 @@
+"""The ten operators on small tables with awkward rows, against brute force; the pipeline against its stages' rules."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from spanloom.llm import ann, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii, quality, queries, substring_dedup
+from spanloom.llm.common import connected_components
+from spanloom.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i}" for i in range(60))
+AWKWARD = [None, "", " \t\n", "a", "a b", "A B", LONG, LONG, LONG + " tail", "x " + LONG, "a a " * 40, "q a a a " * 30, "é😀 ü\nline\n line \nLINE", "\n\n\n", "b" * 3000, "12 34", "a\tb\x0bc", "line\nother", "café " * 50]
+AWKWARD += ["common line\nown %d" % i for i in range(12)] + [" ".join(f"z{i}" for i in range(100)) + f" end{j}" for j in range(8)]
+SCHEMA = "doc_id long, text string, lang string, source string, score double, rank int, n string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else None, None, None, None, None) for i, t in enumerate(AWKWARD)]
+    real = [(1000 + r.doc_id, r.text, r.lang, r.source, None, None, None) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    return spark.createDataFrame(rows + real, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def ascii_lower(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def components(texts, k, num, den):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(ascii_lower(t))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("k, num, den, leaf", [(3, 90, 100, 1024), (5, 4, 5, 4)])
+def test_ngram_join(docs, texts, k, num, den, leaf):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, k, num, den, leaf=leaf).collect()}
+    assert got == components(texts, k, num, den)
+
+
+def test_parts_miss_no_link():
+    rng = np.random.default_rng(3)
+    parts = ngram_join.Parts(9, 10)
+    for _ in range(300):
+        n = int(rng.integers(9, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        off = int(rng.integers(0, max(1, len(a) // 18) + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[off:]], rng.integers(0, 2**63, off).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 10 * both >= 9 * (len(a) + len(b) - both) and len(a) != both:
+            assert len(np.intersect1d(parts.of(a), parts.of(b)))
+
+
+def test_connected_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    got = dict(connected_components(edges).collect())
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
+
+
+def test_exact_dedup(docs, texts):
+    norm = {i: re.sub(r"[\x20\x09-\x0D]", "", t) for i, t in texts.items()}
+    groups = {}
+    for i, t in norm.items():
+        groups.setdefault(t, []).append(i)
+    want = {}
+    for t, ids in groups.items():
+        keep = min(ids, key=lambda i: (-len(texts[i]), i))
+        for i in ids:
+            want[i] = (keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest())
+    got = exact_dedup.exact_dedup(docs, capacity=20)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()} == want
+    assert exact_dedup.drop_copies(docs).count() == len(groups)
+
+
+def test_directory_doubles():
+    assert exact_dedup.directory({0: 5, 3: 5}, 2, 5) == [(1, 0), (1, 1)]
+    assert exact_dedup.directory({0: 9}, 2, 5) == [(2, 0), (2, 1), (1, 1)]
+
+
+def test_line_dedup(docs, texts):
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
+    df = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")} if k)
+    want = {}
+    for i, t in texts.items():
+        kept = [x for x in t.split("\n") if df[key(x)] < 10]
+        want[i] = (t.count("\n") + 1, t.count("\n") + 1 - len(kept), "\n".join(kept))
+    got = line_dedup.line_dedup(docs, min_docs=10)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == want
+    assert set(docs.columns) <= set(got.columns)
+
+
+def test_levelled_runs(spark):
+    runs = line_dedup.LevelledRuns(spark, fanout=2)
+    for b in range(5):
+        runs.add(spark.createDataFrame([(x, 0) for x in range(b, b + 3)], "h1 long, h2 long"))
+    assert {r.h1: r.n for r in runs.counts().collect()} == Counter(x for b in range(5) for x in range(b, b + 3))
+    assert sum(map(len, runs.levels.values())) <= 3
+    assert [r.h1 for r in runs.unseen(spark.createDataFrame([(2, 0), (99, 0)], "h1 long, h2 long")).collect()] == [99]
+
+
+@pytest.mark.parametrize("window", [35, 12, 3])
+def test_substring_dedup(docs, texts, window):
+    words = {i: WORD.findall(t) for i, t in texts.items()}
+    seen = Counter(tuple(w[j : j + window]) for w in words.values() for j in range(len(w) - window + 1))
+    want = {}
+    for i, w in words.items():
+        gone = {j + x for j in range(len(w) - window + 1) if seen[tuple(w[j : j + window])] > 1 for x in range(window)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    got = substring_dedup.substring_dedup(docs, window)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got.collect()} == want
+
+
+def test_language(docs):
+    model = language_id.fit(docs.where("doc_id % 3 != 1"))
+    got = language_id.identify(docs, model)
+    assert [c for c in docs.columns if c != "score"] == [c for c in got.columns if c not in ("lang_pred", "score")]
+    rows = got.collect()
+    for r in rows:
+        assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    held = [r for r in rows if r.doc_id >= 1000 and r.doc_id % 3 == 1]
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
+
+
+def test_quality(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").withColumn("doc_id", F.col("doc_id") + 1000)
+    model = quality.fit(docs.where("doc_id % 3 != 1"), labels.where("doc_id % 3 != 1"))
+    rows = quality.score(docs, model).join(labels, "doc_id", "left").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [(r.quality, r.score) for r in rows if r.quality is not None and r.doc_id % 3 == 1]
+    good, bad = [s for q, s in held if q == 1], [s for q, s in held if q == 0]
+    assert np.mean([a > b for a in good for b in bad]) > 0.9
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+]
+
+
+def test_pii(spark, docs):
+    odd = ["a@b.c_x@d.e é😀 x@y.z.w", "1.2.3.4 256.1.1.1 0001.02.3.255 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 123-4567 +12 34", "9" * 5000 + " a@b.co", "+1 2 3\n4 5 678 9 0"]
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    want = {}
+    for r in all_docs.collect():
+        hits = [[f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, r.text or "") if ok(m[0])] for k, p, ok in BASE]
+        want[r.doc_id] = (*map(len, hits), hashlib.sha256(",".join(sum(hits, [])).encode()).hexdigest())
+    model = pii.fit(all_docs)
+    found = pii.find(all_docs, model)
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found.collect()} == want
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    redacted = {r.doc_id: r.text for r in pii.redact(all_docs, model).collect()}
+    assert redacted[5000] == "<email><email> é😀 <email>" and redacted[0] is None
+    assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rows = packing.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"), capacity=256, group=8).collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        assert r.length == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
+    assert set(by_doc) == set(texts)
+    for i, ps in by_doc.items():
+        ps.sort(key=lambda p: p.start)
+        ids = [x for p in ps for x in p.ids]
+        assert ids == tok.encode(texts[i], add_special_tokens=False).ids + [0] and {p.doc_tokens for p in ps} == {len(ids)}
+        assert [p.start for p in ps] == [0, *np.cumsum([p.length for p in ps]).tolist()[:-1]]
+    sizes = []
+    for ps in by_seq.values():
+        ps.sort(key=lambda p: p.offset)
+        assert [p.offset for p in ps] == [0, *np.cumsum([p.length for p in ps]).tolist()[:-1]]
+        sizes.append(sum(p.length for p in ps))
+    assert max(sizes) <= 256 and sum(256 - s for s in sizes) < 3 * 256  # less than one sequence a task
+
+
+def test_pieces(docs, texts):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = pieces.decode(pieces.encode(docs, path), path).collect()
+    for r in got:
+        assert r.piece_ids == sp.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
+    assert all(r.round_trip for r in pieces.digest(docs, path).collect())
+    words = ["", " ", "  a  b ", "日本語 😀", "<s> <0x41>", "a" * 150, "a" + " " * 30 + "b"]
+    ids, at = pieces.Vocabulary.load(path).encode(words, pieces.Known())
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [sp.encode(w) for w in words]
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 24))
+    x[200:400] = x[200]  # a hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 24), (602, [float("nan")] * 24), (603, [None] * 24), (604, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {i for i in range(600) if i % 50 == 0}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q, found in got.items():
+        s = np.round(unit @ unit[q], 12)
+        best = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:5]
+        hit += len(set(best) & {i for i, _ in found})
+        assert all(abs(s[i] - score) < 1e-9 for i, score in found)
+    assert hit >= 0.9 * 5 * len(got)
+    assert [i for i, _ in got[200]] == [201, 202, 203, 204, 205]
+    assert ann.nearest(df.limit(0), df).count() == 0
+
+
+def test_queries_match_sql(spark, oracle):
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, DATA).toPandas()
+        want = oracle.sql(sql).df()[got.columns.tolist()]
+        assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None))), name
+
+
+def test_pipeline(spark):
+    """Against brute force, stage by stage on each stage's own input."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages = dict(P.STAGES)
+    a = stages["language_id"](spark, docs, DATA).cache()
+    assert {r.doc_id for r in a.collect()} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    b = stages["line_dedup"](spark, a, DATA).cache()
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
+    before = {r.doc_id: r.text for r in a.collect()}
+    df = Counter(k for t in before.values() for k in {key(x) for x in t.split("\n")} if k)
+    after = {i: "\n".join(x for x in t.split("\n") if df[key(x)] < 10) for i, t in before.items()}
+    assert {r.doc_id: r.text for r in b.collect()} == after
+    c = stages["ngram_join"](spark, b, DATA).cache()
+    assert {r.doc_id for r in c.collect()} == {i for i, (_, root) in components(after, 5, 4, 5).items() if root == i}
+    d = stages["pii"](spark, c, DATA).cache()
+    assert d.columns == docs.columns and all(r.n_chars == len(r.text) for r in d.collect())
+    assert not [r for r in d.collect() for k, p, ok in BASE for m in re.finditer(p, r.text) if ok(m[0])]
+    packed = P.run(spark, DATA)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in d.collect()}
