@@ -218,6 +218,18 @@ def _search(k: int, num: int, den: int):
 # --- the join --------------------------------------------------------------------------------------------------
 
 
+def likely(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """docs without most rows whose doc_id isn't in ids, by a bitmap of `bits` hashes (1 MB, whatever the input), so that few other
+    texts go into the exact join that follows. A full bitmap only lets more rows through."""
+    page = 1 << 15
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marks = ids.select(h.alias("h")).groupBy(F.expr(f"h div {page}").alias("__page")).agg(F.expr(f"bitmap_construct_agg(h % {page})").alias("__marks"))
+    placed = docs.withColumn("__h", h).withColumn("__page", F.expr(f"__h div {page}"))
+    byte = F.expr(f"cast(conv(hex(substring(__marks, cast((__h % {page}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(shiftleft(1, cast(__h % 8 as int)) as int)")
+    return placed.join(F.broadcast(marks), "__page").where(byte.bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", leaf: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id that links reach.
 
@@ -240,7 +252,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     parts = cuts.select("doc_id", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").select("part", "canon")
     member = materialize(parts.join(shared, "part").groupBy("canon", "doc_id").agg(F.count(F.lit(1)).alias("parts")).select("canon", "doc_id"), "ngram-groups")
-    texts = materialize(base.join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
+    wanted = member.select("doc_id").distinct()
+    texts = materialize(likely(base, wanted).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
     count = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size"))
     placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
     placed = materialize(placed.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")), "ngram-placed")
