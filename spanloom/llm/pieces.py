@@ -262,7 +262,7 @@ class Vocabulary:
         lo, room = 0, 0
         for i, w in enumerate(new):
             room += len(w) + 1
-            if room > 1 << 20 or i == len(new) - 1:
+            if room > 1 << 19 or i == len(new) - 1:
                 known.add(new[lo : i + 1], self.encode_words(new[lo : i + 1]))
                 lo, room = i + 1, 0
         here = np.array([number[w] for w in own], dtype=np.int64)[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
@@ -298,8 +298,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = Vocabulary.load(model_path), Known()
         for b in batches:
-            for lo, hi in slices(b.column(place), 8 << 20):
-                if len(known.number) > 400_000:
+            for lo, hi in slices(b.column(place), 4 << 20):
+                if len(known.number) > 200_000:
                     known = Known()
                 ids, offsets = vocabulary.encode([t or "" for t in b.column(place).slice(lo, hi - lo).to_pylist()], known)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
