@@ -193,10 +193,12 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     # texts that are one symbol as a whole
     prints = base.select("rid", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(3), "text").alias("t2"))
     copies = prints.groupBy("t1", "t2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = materialize(copies, "sub-groups")  # a table of its own, so that Spark can split the join's hot keys
     copied = materialize(prints.join(copies, ["t1", "t2"]).select("rid", (F.col("rid") == F.col("rep")).alias("is_rep")).distinct(), "sub-copies")
 
     found = base.select("rid", "text").mapInArrow(_emit_anchors(window), "name long, rid long, place long")
     shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name")
+    shared = materialize(shared, "sub-names")
     spots = materialize(found.join(shared, "name").groupBy("rid").agg(F.collect_set("place").alias("places")), "sub-spots")
 
     todo = base.select("rid", "text").join(spots, "rid", "left").join(copied.where("not is_rep").select("rid"), "rid", "left_anti")
@@ -204,6 +206,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     windows = materialize(windows.where(F.size("starts") > 0), "sub-windows")
     each = windows.select("rid", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("rid", F.col("w.starts").alias("start"), "w.h1", "w.h2")
     twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
+    twice = materialize(twice, "sub-twice")
     repeated = materialize(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("start").alias("starts")), "sub-repeated")
 
     marks = repeated.join(copied.select("rid", F.lit(True).alias("whole")), "rid", "full_outer").select("rid", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
