@@ -11,12 +11,13 @@ and trees leave apart meets in further trees, block against block; no partner or
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import connected_components, materialize
@@ -84,15 +85,41 @@ class Parts:
         return np.concatenate(out)
 
 
+REPEATS = 4
+
+
 def _parts(k: int, num: int, den: int):
+    """Rows of parts, combined within chunks of about 16 MB of text: of equal sets only the smallest id's parts are given (no other can be
+    the smallest of its class). A part found in REPEATS documents of a chunk or more is marked as `many`, and its rows but the smallest
+    id's have that id as `head`. So no part has more than REPEATS - 1 rows without a head a chunk."""
+    cutter = Parts(num, den)
+
+    def combined(ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        seen, out = set(), []
+        for lo, hi in slices(texts):
+            for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k):
+                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                out.append(np.zeros(0, dtype=np.uint64) if key in seen else cutter.of(s))
+                seen.add(key)
+        flat, owner = np.concatenate(out), np.repeat(ids, [len(x) for x in out])
+        # parts in order, the smallest id of each first
+        at = np.argsort(flat, kind="stable")
+        flat, owner = flat[at], owner[at]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, dtype=np.int64)
+        times = np.diff(np.append(first, len(flat)))
+        many = np.repeat(times >= REPEATS, times)
+        head = np.repeat(owner[first], times)
+        is_first = np.zeros(len(flat), dtype=bool)
+        is_first[first] = True
+        follow = many & ~is_first
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner), pa.array(many), pa.array(head, mask=~follow)], names=["part", "doc_id", "many", "head"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for lo, hi in slices(texts):
-                out = [parts.of(s).view(np.int64) for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))], names=["doc_id", "parts"])
+            order = np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")
+            b = b.take(pa.array(order))
+            for lo, hi in slices(b.column(1), 16 << 20):
+                yield combined(b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False), b.column(1).slice(lo, hi - lo))
 
     return run
 
@@ -246,17 +273,21 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     classes = materialize(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    # candidates: classes that agree in a part, under the smallest class of each such part
-    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "doc_id long, parts array<long>").where(F.size("parts") > 0)
-    cuts = materialize(cuts.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-parts")
-    parts = cuts.select("doc_id", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("canon")).where("c > 1").select("part", "canon")
-    member = materialize(parts.join(shared, "part").groupBy("canon", "doc_id").agg(F.count(F.lit(1)).alias("parts")).select("canon", "doc_id"), "ngram-groups")
-    wanted = member.select("doc_id").distinct()
-    texts = materialize(likely(base, wanted).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
-    count = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size"))
+    # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
+    # batches, so a part that a third of all documents share takes few rows of one window
+    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long")
+    cuts = materialize(cuts, "ngram-parts")
+    same = Window.partitionBy("part")
+    met = cuts.where("head is null").select("part", "doc_id", "many", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
+    met = materialize(met.where("c > 1 or many").select("part", "doc_id", "many", "canon"), "ngram-met")
+    heads = met.where("many").select("part", F.col("doc_id").alias("head"), "canon").distinct()
+    followers = cuts.where("head is not null").select("part", "doc_id", "head").join(heads, ["part", "head"]).select("canon", "doc_id")
+    member = met.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id", "left_semi")
+    member = materialize(member, "ngram-groups")
+    count = materialize(member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
     placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
     placed = materialize(placed.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")), "ngram-placed")
+    texts = materialize(likely(base, placed.select("doc_id").distinct()), "ngram-texts")
 
     def search(rows: DataFrame, tag: str) -> DataFrame:
         """rows: canon, tree, doc_id, label."""
