@@ -89,7 +89,7 @@ REPEATS = 4
 
 
 def _parts(k: int, num: int, den: int):
-    """Rows of parts, combined within chunks of about 16 MB of text: of equal sets only the smallest id's parts are given (no other can be
+    """Rows of parts, combined within chunks of about 4 MB of text: of equal sets only the smallest id's parts are given (no other can be
     the smallest of its class). A part found in REPEATS documents of a chunk or more is marked as `many`, and its rows but the smallest
     id's have that id as `head`. So no part has more than REPEATS - 1 rows without a head a chunk."""
     cutter = Parts(num, den)
@@ -118,7 +118,7 @@ def _parts(k: int, num: int, den: int):
         for b in batches:
             order = np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")
             b = b.take(pa.array(order))
-            for lo, hi in slices(b.column(1), 16 << 20):
+            for lo, hi in slices(b.column(1), 4 << 20):
                 yield combined(b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False), b.column(1).slice(lo, hi - lo))
 
     return run
