@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import connected_components, materialize
+from spanloom.llm.common import connected_components, delete_tables, materialize
 from spanloom.llm.textvec import Words, mix, shingle_sets, slices
 
 BITS, FAN = 1024, 16
@@ -276,14 +276,16 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
     # batches, so a part that a third of all documents share takes few rows of one window
     cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long")
-    cuts = materialize(cuts, "ngram-parts")
     same = Window.partitionBy("part")
     met = cuts.where("head is null").select("part", "doc_id", "many", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
     met = materialize(met.where("c > 1 or many").select("part", "doc_id", "many", "canon"), "ngram-met")
     heads = met.where("many").select("part", F.col("doc_id").alias("head"), "canon").distinct()
-    followers = cuts.where("head is not null").select("part", "doc_id", "head").join(heads, ["part", "head"]).select("canon", "doc_id")
+    # the parts are cut again for the rows with a head, which are few: all rows written would outweigh the texts
+    headed = materialize(cuts.where("head is not null").select("part", "doc_id", "head"), "ngram-followers")
+    followers = headed.join(heads, ["part", "head"]).select("canon", "doc_id")
     member = met.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id", "left_semi")
     member = materialize(member, "ngram-groups")
+    delete_tables(met, headed)
     count = materialize(member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
     placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
     placed = materialize(placed.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")), "ngram-placed")
