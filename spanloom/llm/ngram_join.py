@@ -3,10 +3,14 @@
 The join keeps every pair of documents whose shingle sets overlap by at least num / den. Documents with one
 set are one class. Classes meet in a group when they agree in one of the parts that `parts` cuts every set into
 (sets that link differ in too few shingles to differ in every part). A group is searched by a signature tree: leaves of
-documents in order of size, nodes with the OR of their documents' token bitmaps and their range of sizes, a dual
-traversal that drops a pair of nodes when the sizes or the largest possible overlap rule a link out, and exact sets at the end.
+documents in order of size, nodes with the OR of their documents' token bitmaps and their range of sizes, and a dual
+traversal that drops a pair of nodes when the sizes or the largest possible overlap rule a link out.
 
-Groups of more than `leaf` classes are dealt over several trees, each with the same hub, and what hub
+The trees are searched twice. First the bitmaps alone move, about a byte a shingle, to all of a document's groups, and the pairs
+that their overlap allows make components of possible links. Every link lies within such a component, so a text moves once, to its
+component's tree, where exact sets decide.
+
+Groups of more than `leaf` classes or `LOAD` shingles are dealt over several trees, each with the same hub, and what hub
 and trees leave apart meets in further trees, block against block; no partner or candidate is dropped."""
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import connected_components, delete_tables, materialize
 from spanloom.llm.textvec import Words, mix, shingle_sets, slices
 
-BITS, FAN = 1024, 16
+FAN = 16
+LOAD = 1 << 21
 
 
 # --- passes over the texts -------------------------------------------------------------------------------------
@@ -127,14 +132,21 @@ def _parts(k: int, num: int, den: int):
 # --- the tree --------------------------------------------------------------------------------------------------
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), BITS // 64), dtype=np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        h = s >> np.uint64(20)
-        np.bitwise_or.at(row, ((h >> np.uint64(6)) % np.uint64(BITS // 64)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The set's token bitmap: a power of two of bits, 64 at least, and 4 to 8 a token beyond."""
+    words = 1 << max(0, (4 * len(s) - 1).bit_length() - 6)
+    h = s >> np.uint64(20)
+    out = np.zeros(words, dtype=np.uint64)
+    np.bitwise_or.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
     return out
 
 
+def folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows, folded to the length of the shortest."""
+    width = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in bitmaps])
+
+
 class Level:
     """Nodes: OR of the bitmaps, smallest and largest size, largest number of tokens that share a bit with others."""
 
@@ -147,8 +159,12 @@ class Level:
 
     def may_link(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
         ok = (self.high[i] * den >= self.low[j] * num) & (self.high[j] * den >= self.low[i] * num)
-        most = np.bitwise_count(self.bits[i] & self.bits[j]).sum(-1, dtype=np.int64) + np.minimum(self.shared[i], self.shared[j])
-        return ok & (most * (num + den) >= num * (self.low[i] + self.low[j]))
+        left = np.flatnonzero(ok)
+        for at in np.array_split(left, 1 + len(left) * self.bits.shape[1] // LOAD):  # bounds the memory
+            x, y = i[at], j[at]
+            most = np.bitwise_count(self.bits[x] & self.bits[y]).sum(-1, dtype=np.int64) + np.minimum(self.shared[x], self.shared[y])
+            ok[at] = most * (num + den) >= num * (self.low[x] + self.low[y])
+        return ok
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -159,15 +175,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tree_links(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None) -> np.ndarray:
-    """Labels (places in sets) of the components that links make, joined to those that labels has before.
-    Node pairs of one component are skipped, as a link in them would join nothing."""
-    m = len(sets)
-    label = np.arange(m) if labels is None else np.unique(labels, return_inverse=True)[1]
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64), size))
-    sets, size, back, label = [sets[x] for x in order], size[order], np.argsort(order), label[order]
-    bits = bitmaps(sets)
+def tree_links(size: np.ndarray, bitmaps: list[np.ndarray], sets: list[np.ndarray] | None, num: int, den: int, labels: np.ndarray) -> np.ndarray:
+    """Labels (small integers, one for each place) of the components that links make, joined to those that labels has before.
+    Without sets, the pairs that sizes and bitmaps allow count as links. Node pairs of one component are skipped, as a
+    link in them would join nothing."""
+    m, label, bits = len(size), np.unique(labels, return_inverse=True)[1], folded(bitmaps)
+    order = np.lexsort((bits[:, 0], size))
+    size, back, label, bits = size[order], np.argsort(order), label[order], bits[order]
     docs = Level(bits, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64))
     levels = [docs]
     while len(levels[-1].low) > FAN or len(levels) == 1:
@@ -182,10 +196,8 @@ def tree_links(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
         cj = (j[:, None, None] * FAN + np.arange(FAN)[None, None, :]) + np.zeros((1, FAN, 1), dtype=np.int64)
         ok = (ci < below) & (cj < below) & (ci <= cj)
         i, j = ci[ok], cj[ok]
-    if len(levels) > 1:
-        ok = levels[1].may_link(i, j, num, den)
-        i, j = i[ok], j[ok]
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+    ok = levels[1].may_link(i, j, num, den)
+    for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
         ra, rb = np.arange(a * FAN, min(m, a * FAN + FAN)), np.arange(b * FAN, min(m, b * FAN + FAN))
         apart = label[ra][:, None] != label[rb][None, :]
         if a == b:
@@ -197,24 +209,44 @@ def tree_links(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
         ok = docs.may_link(x, y, num, den) & (size[x] > 0) & (size[y] > 0)
         for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
             if label[p] != label[q]:
-                both = overlap(sets[p], sets[q])
-                if den * both >= num * (len(sets[p]) + len(sets[q]) - both):
-                    label[label == label[q]] = label[p]
+                if sets is not None:
+                    one, two = sets[order[p]], sets[order[q]]
+                    both = overlap(one, two)
+                    if den * both < num * (len(one) + len(two) - both):
+                        continue
+                label[label == label[q]] = label[p]
     return label[back]
 
 
-def _search(k: int, num: int, den: int):
-    """Batches sorted by (canon, tree) with doc_id, label, text; out come edges (a, b) of a forest of the links found."""
+def _sketches(k: int):
+    """Of each document its set's size and bitmap, as 8-byte numbers in one binary value."""
 
-    def group(ids: list, marks: list, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(ids, dtype=np.int64)
-        ids, at = np.unique(ids, return_index=True)
-        sets = []
-        column = pa.array([texts[x] for x in at], pa.large_string())
-        for lo, hi in slices(column):
-            sets += shingle_sets(Words(column.slice(lo, hi - lo), lower=True), k)
-        before = np.array(marks, dtype=np.int64)[at]
-        after = tree_links(sets, num, den, before)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                sets = shingle_sets(Words(b.column(1).slice(lo, hi - lo), lower=True), k)
+                what = [np.append(np.uint64(len(s)), bitmap(s)).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(what, pa.binary())], names=["doc_id", "what"])
+
+    return run
+
+
+def _search(k: int, num: int, den: int, exact: bool):
+    """Batches sorted by (canon, tree) with doc_id, label, what (a text if exact, else a sketch); out come edges (a, b) of a
+    forest of the links found."""
+
+    def group(ids: list, marks: list, what: list) -> tuple[np.ndarray, np.ndarray]:
+        rows = {(i, w): m for i, m, w in zip(ids, marks, what, strict=True)}
+        ids, marks = np.array([i for i, _ in rows], dtype=np.int64), np.array(list(rows.values()), dtype=np.int64)
+        if exact:
+            column, sets = pa.array([w for _, w in rows], pa.large_string()), []
+            for lo, hi in slices(column):
+                sets += shingle_sets(Words(column.slice(lo, hi - lo), lower=True), k)
+            size, bits = np.array([len(s) for s in sets], dtype=np.int64), [bitmap(s) for s in sets]
+        else:
+            both = [np.frombuffer(w, dtype=np.uint64) for _, w in rows]
+            sets, size, bits = None, np.array([x[0] for x in both], dtype=np.int64), [x[1:] for x in both]
+        after = tree_links(size, bits, sets, num, den, marks)
         root = np.full(after.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(root, after, ids)
         new = root[after] != ids
@@ -225,7 +257,7 @@ def _search(k: int, num: int, den: int):
         for b in batches:
             got = b.to_pydict()
             a, z = [], []
-            for key, *row in zip(zip(got["canon"], got["tree"], strict=True), got["doc_id"], got["label"], got["text"], strict=True):
+            for key, *row in zip(zip(got["canon"], got["tree"], strict=True), got["doc_id"], got["label"], got["what"], strict=True):
                 if key != now:
                     if len(rows[0]) > 1:
                         x, y = group(*rows)
@@ -257,6 +289,43 @@ def likely(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     return placed.join(F.broadcast(marks), "__page").where(byte.bitwiseAND(bit) != 0).select(*docs.columns)
 
 
+def search_groups(member: DataFrame, what: DataFrame, search, leaf: int) -> DataFrame:
+    """(node, root) of the components that links within groups make. member: canon (the group), doc_id, n (shingles), each pair once;
+    what: doc_id and what the trees hold of it; search: from _search."""
+    weigh = F.ceil(F.greatest(F.count(F.lit(1)) / leaf, F.sum("n") / LOAD)).cast("int")
+    trees = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size"), weigh.alias("trees")).where("size > 1").drop("size")
+    placed = member.join(materialize(trees, "ngram-trees"), "canon")
+    placed = materialize(placed.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")), "ngram-placed")
+
+    def links(rows: DataFrame) -> DataFrame:
+        """rows: canon, tree, doc_id, label."""
+        full = rows.join(what, "doc_id").select("canon", "tree", "doc_id", "label", "what")
+        full = full.repartition("canon", "tree").sortWithinPartitions("canon", "tree")
+        return materialize(full.mapInArrow(search, "a long, b long"), "ngram-edges")
+
+    own = placed.select("canon", "tree", "doc_id", F.col("doc_id").alias("label"))
+    hub = placed.where("trees > 1 and tree = 0").select("canon", F.explode(F.sequence(F.lit(1), F.col("trees") - 1)).alias("tree"), "doc_id", F.col("doc_id").alias("label"))
+    edges = links(own.unionByName(hub))
+    labels = connected_components(edges)
+
+    # groups of several trees: what isn't in the group's largest component yet meets all of the group
+    large = placed.where("trees > 1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
+    large = materialize(large.select("canon", "tree", "trees", "doc_id", "label", "n"), "ngram-large")
+    main = large.groupBy("canon", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("canon").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rest = large.join(main, "canon").where("label != main")
+    blocks = rest.groupBy("canon").agg(weigh.alias("blocks"))
+    rest = rest.join(blocks, "canon").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")).cast("int"))
+    rest = materialize(rest.select("canon", "trees", "blocks", "block", "doc_id", "label"), "ngram-rest")
+    if rest.isEmpty():
+        return labels
+    span = F.sequence(F.lit(0), F.col("trees") - 1)
+    one = rest.select("canon", F.explode(span).alias("t"), "blocks", "block", "doc_id", "label").withColumn("tree", F.col("t") * F.col("blocks") + F.col("block"))
+    two = large.join(blocks, "canon").select("canon", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "doc_id", "label")
+    two = two.withColumn("tree", F.col("tree") * F.col("blocks") + F.col("block"))
+    more = links(one.select("canon", "tree", "doc_id", "label").unionByName(two.select("canon", "tree", "doc_id", "label")).distinct())
+    return connected_components(edges.unionByName(more))
+
+
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", leaf: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id that links reach.
 
@@ -271,7 +340,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     # one document for each set
     real = sized.where("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("n"))
 
     # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
     # batches, so a part that a third of all documents share takes few rows of one window
@@ -283,40 +352,18 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     # the parts are cut again for the rows with a head, which are few: all rows written would outweigh the texts
     headed = materialize(cuts.where("head is not null").select("part", "doc_id", "head"), "ngram-followers")
     followers = headed.join(heads, ["part", "head"]).select("canon", "doc_id")
-    member = met.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id", "left_semi")
+    member = met.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id")
     member = materialize(member, "ngram-groups")
     delete_tables(met, headed)
-    count = materialize(member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
-    placed = member.join(count, "canon").withColumn("trees", F.ceil(F.col("size") / leaf).cast("int"))
-    placed = materialize(placed.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int")), "ngram-placed")
-    texts = materialize(likely(base, placed.select("doc_id").distinct()), "ngram-texts")
-
-    def search(rows: DataFrame, tag: str) -> DataFrame:
-        """rows: canon, tree, doc_id, label."""
-        full = rows.join(texts, "doc_id").select("canon", "tree", "doc_id", "label", "text")
-        full = full.repartition("canon", "tree").sortWithinPartitions("canon", "tree")
-        return materialize(full.mapInArrow(_search(k, num, den), "a long, b long"), tag)
-
-    own = placed.select("canon", "tree", "doc_id", F.col("doc_id").alias("label"))
-    hub = placed.where("trees > 1 and tree = 0").select("canon", F.explode(F.sequence(F.lit(1), F.col("trees") - 1)).alias("tree"), "doc_id", F.col("doc_id").alias("label"))
-    edges = search(own.unionByName(hub), "ngram-edges")
-    labels = connected_components(edges)
-
-    # groups of several trees: what isn't in the group's largest component yet meets all of the group
-    large = placed.where("trees > 1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
-    large = materialize(large.select("canon", "tree", "trees", "doc_id", "label"), "ngram-large")
-    main = large.groupBy("canon", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("canon").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rest = large.join(main, "canon").where("label != main")
-    blocks = rest.groupBy("canon").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks"))
-    rest = rest.join(blocks, "canon").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")).cast("int"))
-    rest = materialize(rest.select("canon", "trees", "blocks", "block", "doc_id", "label"), "ngram-rest")
-    if not rest.isEmpty():
-        span = F.sequence(F.lit(0), F.col("trees") - 1)
-        one = rest.select("canon", F.explode(span).alias("t"), "blocks", "block", "doc_id", "label").withColumn("tree", F.col("t") * F.col("blocks") + F.col("block"))
-        two = large.join(blocks, "canon").select("canon", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "doc_id", "label")
-        two = two.withColumn("tree", F.col("tree") * F.col("blocks") + F.col("block"))
-        more = search(one.select("canon", "tree", "doc_id", "label").unionByName(two.select("canon", "tree", "doc_id", "label")).distinct(), "ngram-edges")
-        labels = connected_components(edges.unionByName(more))
+    crowd = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("canon")
+    member = member.join(crowd, "canon", "left_semi")
+
+    # possible links by bitmaps, which are small; then each text once, with what it may link with
+    sketches = likely(base, member.select("doc_id").distinct()).mapInArrow(_sketches(k), "doc_id long, what binary")
+    maybe = search_groups(member, materialize(sketches, "ngram-sketches"), _search(k, num, den, False), leaf)
+    member = maybe.select(F.col("root").alias("canon"), F.col("node").alias("doc_id")).join(reps, "doc_id")
+    texts = likely(base, maybe.select(F.col("node").alias("doc_id"))).withColumnRenamed("text", "what")
+    labels = search_groups(member, texts, _search(k, num, den, True), leaf)
 
     # back from classes to documents
     root = labels.select(F.col("node").alias("rep"), "root")
