@@ -1,8 +1,8 @@
 """Approximate nearest neighbours with score-aware (anisotropic) product quantisation.
 
 Codes of four bits a subspace are fitted so that the part of the residual parallel to the vector, which moves inner products
-most, costs more than the rest. Vectors lie in leaves around coarse centres; a query's tables of 16 sums a subspace scan the codes of its
-nearest leaves, and the best are ranked again by their exact cosine."""
+most, costs more than the rest. Vectors lie in leaves around coarse centres; a query's tables of 16 sums a subspace scan the codes of
+every leaf in blocks, and the best of each block are ranked again by their exact cosine."""
 
 from __future__ import annotations
 
@@ -107,7 +107,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(a) * np.sqrt(b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, leaf_rows: int = 8192, probes: int = 8, rerank: int = 400, block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, leaf_rows: int = 8192, probes: int | None = None, rerank: int = 400, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query's k nearest rows of vectors other than its own id, by cosine in double
     precision, nearest first, ties to the smaller id; all candidates, if there are fewer.
 
@@ -115,7 +115,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     whose length isn't the commonest one take no part, nor do null ids; such queries return nothing. Equal vectors are searched as one and
     give their smallest ids, so a hot vector adds no work. Rows that repeat an id and vector count once. The
     index is fitted on `sample` rows at most, taken by a hash, and holds every row; centres are rows / leaf_rows, 4096 at most, and leaves
-    over `block` vectors are scanned in blocks, each exactly reranked. Empty tables give no rows."""
+    over `block` vectors are scanned in blocks, each exactly reranked. Every leaf is scanned at any size; a number of `probes` leaves a
+    query's other leaves out, which costs recall where vectors have no clusters. Empty tables give no rows."""
     spark = vectors.sparkSession
     clean = lambda df: (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -157,8 +158,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     stored = materialize(stored, "ann-leaves")
     blocks = stored.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     salted = stored.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks")).cast("int"))  # 4096 leaves at most
-    asks = asked.select("v", "vec_id").mapInArrow(place(probes), "v array<double>, vec_id long, leaf array<int>").select("v", "vec_id", F.explode("leaf").alias("leaf"))
-    asks = asks.join(F.broadcast(blocks), "leaf").select("v", "vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asks = asked.select("v", "vec_id")
+    if probes is None:
+        asks = asks.crossJoin(F.broadcast(blocks.select(F.col("leaf").alias("leaf"), "blocks")))
+    else:
+        asks = asks.mapInArrow(place(probes), "v array<double>, vec_id long, leaf array<int>").select("v", "vec_id", F.explode("leaf").alias("leaf"))
+        asks = asks.join(F.broadcast(blocks), "leaf")
+    asks = asks.select("v", "vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def scan(key, left, right):
         out = {c: [] for c in ("query_id", "vec_id", "score")}

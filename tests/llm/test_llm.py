@@ -244,6 +244,16 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+def test_ann_scans_every_leaf(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 24))  # no clusters; 50 leaves
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, df.where("vec_id % 50 = 0"), k=5, leaf_rows=40).collect()
+    s = (unit := x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit[::50].T
+    s[np.arange(0, 2000, 50), np.arange(40)] = -2
+    best = {(50 * q, int(i)) for q in range(40) for i in np.argsort(-s[:, q])[:5]}
+    assert len(rows) == 200 and len(best & {(r.query_id, r.vec_id) for r in rows}) >= 0.9 * 200
+
+
 def test_queries_match_sql(spark, oracle):
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, DATA).toPandas()
