@@ -335,6 +335,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     a component. Rows with a null id get the size of their set and a null component. An empty table gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    moved = any(x in base._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InMemory", "Scan ExistingRDD"))
+    if moved:  # a task that runs again may get the rows of a shuffle in another order, and so cut them into other chunks
+        base = materialize(base, "ngram-docs")
     sized = materialize(base.mapInArrow(_digests(k), "doc_id long, n long, f1 long, f2 long"), "ngram-digest")
 
     # one document for each set
@@ -345,16 +348,17 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
     # batches, so a part that a third of all documents share takes few rows of one window
     cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long")
-    same = Window.partitionBy("part")
-    met = cuts.where("head is null").select("part", "doc_id", "many", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
-    met = materialize(met.where("c > 1 or many").select("part", "doc_id", "many", "canon"), "ngram-met")
-    heads = met.where("many").select("part", F.col("doc_id").alias("head"), "canon").distinct()
-    # the parts are cut again for the rows with a head, which are few: all rows written would outweigh the texts
-    headed = materialize(cuts.where("head is not null").select("part", "doc_id", "head"), "ngram-followers")
-    followers = headed.join(heads, ["part", "head"]).select("canon", "doc_id")
-    member = met.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id")
+    # rows with a head, which are few, go through the same shuffle, so that they and their heads come from one cut of the texts; each
+    # chunk's are a group of their own, so a part that many documents share isn't one task's
+    same = Window.partitionBy("part", "head")
+    met = cuts.select("part", "doc_id", "many", "head", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
+    met = materialize(met.where("c > 1 or many").select("part", "doc_id", "many", "head", "canon"), "ngram-met")
+    headless = met.where("head is null")
+    heads = headless.where("many").select("part", F.col("doc_id").alias("head"), "canon").distinct()
+    followers = met.where("head is not null").select("part", "doc_id", "head").join(heads, ["part", "head"]).select("canon", "doc_id")
+    member = headless.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id")
     member = materialize(member, "ngram-groups")
-    delete_tables(met, headed)
+    delete_tables(met)
     crowd = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("canon")
     member = member.join(crowd, "canon", "left_semi")
 
@@ -365,6 +369,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     texts = likely(base, maybe.select(F.col("node").alias("doc_id"))).withColumnRenamed("text", "what")
     labels = search_groups(member, texts, _search(k, num, den, True), leaf)
 
+    if moved:
+        delete_tables(base)
+
     # back from classes to documents
     root = labels.select(F.col("node").alias("rep"), "root")
     named = classes.join(root, "rep", "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("component_id"))

@@ -65,6 +65,25 @@ def test_ngram_join(docs, texts, k, num, den, leaf):
     assert got == components(texts, k, num, den)
 
 
+def test_ngram_join_of_rows_in_another_order_each_time(spark):
+    """Each pass over the texts cuts them into other chunks."""
+
+    def shuffled(batches):
+        import pyarrow as pa
+
+        ids = np.random.default_rng().permutation([i for b in batches for i in b.column(0).to_pylist()])  # another seed at each run
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "text": [" ".join(f"v{j}" for j in range(100)) + f" tail{i}" for i in ids]})
+
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        got = ngram_join.ngram_components(spark.range(0, 120, 1, 4).mapInArrow(shuffled, "doc_id long, text string"), 3, 90, 100).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert sorted(r.doc_id for r in got) == list(range(120)) and {r.component_id for r in got} == {0}
+
+
 def test_parts_miss_no_link():
     rng = np.random.default_rng(3)
     parts = ngram_join.Parts(9, 10)
