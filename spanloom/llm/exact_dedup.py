@@ -63,5 +63,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that exact_dedup doesn't keep, all columns as they were."""
-    keep = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    keep = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
+    mine = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.sha2(normalise(F.col(text_col)), 256) == F.col("__sha"))
+    return docs.join(keep, mine, "left_semi")

@@ -8,9 +8,9 @@ more than once; a window that repeats holds at least one such group of symbols,
 all that has to be verified, by two hashes of the window's words, 128 bits in all.
 
 Why nothing is missed (window of 35 words, two rounds): a round's pairing depends on the two symbols alone, so a window loses at most one
-symbol at each edge in a round; a run that the edge cuts loses one word more, and windows with a run of three or
-more inside are verified in any case. That leaves 35 - 2 * (2 + 2) = 27 words parsed alike, in symbols of at most 4
-words. Anchors span at least 10 words, so at most 13, and the first 14 words of those 27 hold 4 starts of anchors; the
+symbol at each edge in a round; a run that the edge cuts loses its two words and the neighbour that pairs with its name, so one word more,
+and windows with a run of three or more inside are verified in any case. That leaves 35 - 2 * (4 + 1) = 25 words parsed alike, in symbols
+of at most 4 words. Anchors span at least 10 words, so at most 13, and the first 13 words of those 25 hold 4 starts of anchors; the
 smallest of every 4 consecutive ones is kept. `geometry` does this sum for other lengths."""
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def geometry(window: int) -> tuple[int, int, int]:
     """(rounds, words of an anchor at least, consecutive starts of which one is kept) that miss no window."""
     for rounds in range(ROUNDS, -1, -1):
         longest = 2**rounds
-        inside = window - 2 * (2**rounds if rounds else 0)
+        inside = window - 2 * (2**rounds + 1 if rounds else 0)
         span = max(1, min(10, inside - longest + 1))
         starts = (inside - (span + longest - 1)) // longest + 1
         if inside >= span + longest - 1 and starts >= 1:

@@ -118,6 +118,11 @@ def test_exact_dedup(docs, texts):
     assert exact_dedup.drop_copies(docs).count() == len(groups)
 
 
+def test_drop_copies_keeps_a_null_id(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, "ab"), (2, "c"), (3, "c")], "doc_id long, text string")
+    assert {tuple(r) for r in exact_dedup.drop_copies(df).collect()} == {(None, "a b"), (2, "c")}
+
+
 def test_directory_doubles():
     assert exact_dedup.directory({0: 5, 3: 5}, 2, 5) == [(1, 0), (1, 1)]
     assert exact_dedup.directory({0: 9}, 2, 5) == [(2, 0), (2, 1), (1, 1)]
@@ -144,6 +149,14 @@ def test_levelled_runs(spark):
     assert [r.h1 for r in runs.unseen(spark.createDataFrame([(2, 0), (99, 0)], "h1 long, h2 long")).collect()] == [99]
 
 
+def test_geometry_allows_for_cut_runs():
+    for window in range(1, 61):
+        rounds, span, keep = substring_dedup.geometry(window)
+        inside = window - 2 * (2**rounds + 1 if rounds else 0)
+        assert inside >= (keep - 1) * 2**rounds + span + 2**rounds - 1, window
+    assert substring_dedup.geometry(35) == (2, 10, 4)
+
+
 @pytest.mark.parametrize("window", [35, 12, 3])
 def test_substring_dedup(docs, texts, window):
     words = {i: WORD.findall(t) for i, t in texts.items()}
