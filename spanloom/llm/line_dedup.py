@@ -28,8 +28,8 @@ def line_hash(line: Column) -> Column:
 class LevelledRuns:
     """Sorted runs of (h1, h2, n), n being the documents that have the line so far.
 
-    add() anti-joins a batch with the runs to find the lines seen for the first time, and writes the batch as a
-    run of level 0; when a level has `fanout` runs, they are merged to one run of the next level (sums of n), so N
+    add() groups a batch and writes it as a run of level 0, known lines with the new ones, as their counts add up
+    (unseen() anti-joins a batch with the runs); when a level has `fanout` runs, they are merged to one run of the next level (sums of n), so N
     batches leave about fanout * log(N) runs. Runs are sorted by hash within files, and are Parquet
     tables in the shared folder: they outlive executors, and a later session can go on with them."""
 
