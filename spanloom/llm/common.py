@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it."""
+    """Lets Python workers import this package where the driver found it, and bounds the bytes of a batch that they get, as
+    texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default; other values are the user's
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
@@ -54,11 +56,9 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of plans that nothing refers to any more go when the driver's garbage is collected."""
-    for _ in range(2):  # what the first pass finalises, the second frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)  # the cleaner works on its own thread
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more; it works on its own thread."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete_tables(*tables: DataFrame) -> None:

@@ -19,20 +19,23 @@ from spanloom.llm.textvec import _LOWER, mix, raw, slices
 
 U = np.uint64
 ORDERS = (3, 4)
+#: Places of n-grams that are looked up in one go, whatever the length of a text.
+BLOCK = 1 << 18
 
 
-def byte_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, text) of the n-grams of bytes that lie within one text; ASCII in lower case."""
-    n = len(data) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = _LOWER[data].astype(np.uint64)
-    g = np.full(n, order, dtype=np.uint64)
-    for j in range(order):
-        g = (g << U(8)) | x[j : j + n]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    ok = text[:n] == text[order - 1 :]
-    return mix(g[ok]), text[:n][ok]
+def byte_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, text) of the n-grams of bytes that lie within one text, ASCII in lower case, a block of places at a time."""
+    total = len(data) - order + 1
+    for lo in range(0, total, BLOCK):
+        hi = min(total, lo + BLOCK)
+        x = _LOWER[data[lo : hi + order - 1]]
+        g = np.full(hi - lo, order, dtype=np.uint64)
+        for j in range(order):
+            g <<= U(8)
+            g |= x[j : j + hi - lo]
+        text = (np.searchsorted(offsets, np.arange(lo, hi + order - 1), "right") - 1).astype(np.int32)
+        ok = text[: hi - lo] == text[order - 1 :]
+        yield mix(g[ok]), text[: hi - lo][ok]
 
 
 @dataclass
@@ -58,14 +61,13 @@ class Filters:
     @staticmethod
     def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         mask = U((1 << bits) - 1)
-        return (hashes & mask).astype(np.int64), ((hashes >> U(32)) & mask).astype(np.int64)
+        return (hashes & mask).astype(np.int32), ((hashes >> U(32)) & mask).astype(np.int32)
 
     def popcounts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, n-grams found in each language) of each text."""
         data, offsets = raw(column)
         n, found = np.zeros(len(column)), np.zeros((len(column), len(self.languages)))
-        for order in ORDERS:
-            g, text = byte_grams(data, offsets, order)
+        for g, text in (part for order in ORDERS for part in byte_grams(data, offsets, order)):
             one, two = self.places(g, self.bits)
             n += np.bincount(text, minlength=len(column))
             for w in range(self.slots.shape[1]):
@@ -101,23 +103,23 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, grams: int = 20_000, bits: int = 18) -> Filters:
-    """Filters of the `grams` commonest n-grams of each language, from about per_language texts of each, chosen by a hash
-    of the text (a bounded sample, whatever the input's size). Rows whose text or language is null are left out."""
+    """Filters of the `grams` commonest n-grams of each language, from about per_language texts of each. The sample is bounded
+    whatever the input's size: rows, not texts, are drawn, so that copies of a text are rows like others, and a language of up to
+    per_language rows is taken whole. Rows whose text or language is null are left out."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Filters([], bits, np.zeros((1 << bits, 1), np.uint64), np.zeros(0), np.zeros(0))
     languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1.0 if n <= per_language else per_language / n)])
+    sample = rows.where(F.rand(17) < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(0)):
                 langs = np.array(b.column(1).slice(lo, hi - lo).to_pylist(), dtype=object)
                 data, offsets = raw(b.column(0).slice(lo, hi - lo))
-                for order in ORDERS:
-                    g, text = byte_grams(data, offsets, order)
+                for g, text in (part for order in ORDERS for part in byte_grams(data, offsets, order)):
                     for lang in set(langs):
                         values, n = np.unique(g[(langs == lang)[text]], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])

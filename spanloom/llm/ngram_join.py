@@ -41,14 +41,16 @@ def _digests(k: int):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for lo, hi in slices(texts):
-                sets = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k)
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                flat = np.concatenate(sets)
+                sets = shingle_sets(Words(texts.slice(lo, hi - lo), lower=True, lanes=2), k, lanes=2)
+                sizes = np.array([len(s) for s, _ in sets], dtype=np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                one, two = np.zeros(len(flat) + 1, np.uint64), np.zeros(len(flat) + 1, np.uint64)
-                np.cumsum(flat, out=one[1:])
-                np.cumsum((flat ^ (flat >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), out=two[1:])
-                f1, f2 = (x[at[1:]] - x[at[:-1]] for x in (one, two))
+                prints = []
+                for lane in (0, 1):  # sums of two hashes that share nothing: 128 bits of the set
+                    flat = np.concatenate([s[lane] for s in sets])
+                    total = np.zeros(len(flat) + 1, np.uint64)
+                    np.cumsum(mix(flat), out=total[1:])
+                    prints.append(total[at[1:]] - total[at[:-1]])
+                f1, f2 = prints
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
 
     return run

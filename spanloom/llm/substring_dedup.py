@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialize
-from spanloom.llm.textvec import PLACE, Words, mix, powers, slices
+from spanloom.llm.textvec import PLACE, Words, mix, slices
 
 U = np.uint64
 ROUNDS = 2
@@ -44,6 +44,13 @@ def geometry(window: int) -> tuple[int, int, int]:
     return 0, window, 1
 
 
+def powers(base: U, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def spans(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: U, inverse: U) -> np.ndarray:
     """A hash of x[lo:hi] for each pair, the same wherever the values stand."""
     total = np.zeros(len(x) + 1, dtype=np.uint64)
@@ -123,7 +130,7 @@ def _emit_windows(window: int):
         for b in batches:
             texts, shared = b.column(1), b.column(2)
             for lo, hi in slices(texts):
-                words = Words(texts.slice(lo, hi - lo))
+                words = Words(texts.slice(lo, hi - lo), lanes=2)
                 first, h, total = words.first, words.hashes, len(words.hashes)
                 mark = np.zeros(total + 1, dtype=np.int64)
                 part = shared.slice(lo, hi - lo)
@@ -139,7 +146,7 @@ def _emit_windows(window: int):
                     np.add.at(mark, run3 + 1, -1)
                 start = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
                 start = start[start + window <= first[of[start] + 1]]
-                h1, h2 = spans(h, start, start + window, _P1, _I1), spans(h, start, start + window, _P2, _I2)
+                h1, h2 = spans(h, start, start + window, _P1, _I1), spans(words.others, start, start + window, _P2, _I2)
                 offsets = pa.array(np.searchsorted(start, first).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((start - first[of[start]]).astype(np.int32), h1.view(np.int64), h2.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists], names=["rid", "starts", "h1", "h2"])
@@ -152,7 +159,7 @@ def _cut(window: int):
         for b in batches:
             texts = b.column(1)
             for lo, hi in slices(texts):
-                words = Words(texts.slice(lo, hi - lo), hashed=False)
+                words = Words(texts.slice(lo, hi - lo), lanes=0)
                 n = np.diff(words.first)
                 whole = b.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 gone, kept = [], []
