@@ -29,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines found in ten documents or more."""
+    ship(spark)
     return with_length(line_dedup.line_dedup(docs, min_docs=10), docs)
 
 
