@@ -6,7 +6,7 @@ set are one class. Classes meet in a group when they agree in one of the parts t
 documents in order of size, nodes with the OR of their documents' token bitmaps and their range of sizes, and a dual
 traversal that drops a pair of nodes when the sizes or the largest possible overlap rule a link out.
 
-The trees are searched twice. First the bitmaps alone move, about a byte a shingle, to all of a document's groups, and the pairs
+The trees are searched twice. First the bitmaps alone move, a bit or two a shingle, to all of a document's groups, and the pairs
 that their overlap allows make components of possible links. Every link lies within such a component, so a text moves once, to its
 component's tree, where exact sets decide.
 
@@ -135,8 +135,9 @@ def _parts(k: int, num: int, den: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """The set's token bitmap: a power of two of bits, 64 at least, and 4 to 8 a token beyond."""
-    words = 1 << max(0, (4 * len(s) - 1).bit_length() - 6)
+    """The set's token bitmap: a power of two of bits, 64 at least, and one to two a token beyond. With 1.4 bits a token the largest
+    possible overlap of two sets of n tokens that share nothing comes to about 0.65 n, below the 0.89 n that links at 0.8 need."""
+    words = 1 << max(0, (len(s) - 1).bit_length() - 6)
     h = s >> np.uint64(20)
     out = np.zeros(words, dtype=np.uint64)
     np.bitwise_or.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))

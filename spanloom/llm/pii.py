@@ -56,7 +56,7 @@ HINT = {
 KINDS = [*BASE, *WIDER]
 CONTEXT = {"phone": "phone|tel|call|mobile|fax", "mail": "mail|contact|write", "card": "card|visa|iban|account|konto", "id": "ssn|social|passport|ident|born", "secret": "key|token|secret|pass|auth"}
 #: Features and how many values each has.
-SHAPE = {"kind": len(KINDS), "digits": 6, "parts": 4, "letters": 2, "mark": 2, "variety": 3, "lead": 3, "valid": 2, "context": 6, "left": 2, "right": 2}
+SHAPE = {"kind": len(KINDS), "digits": 6, "parts": 4, "letters": 2, "mark": 2, "variety": 3, "lead": 4, "valid": 2, "context": 6, "left": 2, "right": 2}
 AROUND = 24
 #: A good and a bad example or two of each wider kind, so that the trees know every kind in any corpus.
 EXAMPLES = [
@@ -177,7 +177,7 @@ def shape(m: Column) -> Column:
         "letters": s.rlike("[A-Za-z]"),
         "mark": s.rlike("[@+=:]"),
         "variety": binned(F.size(F.array_distinct(F.split(s, ""))), 6, 13),
-        "lead": F.when(first == "", 0).when(first < "2", 1).otherwise(2),
+        "lead": F.when(first == "", 0).when(first == "0", 1).when(first == "1", 2).otherwise(3),
         "valid": F.when(m["kind"] == "card", F.call_function("luhn_check", F.regexp_replace(s, "[^0-9]", ""))).when(m["kind"] == "xiban", mod97(s) == 1).otherwise(False),
         "context": context,
         "left": near(F.right(m["before"], F.lit(1))),
