@@ -64,32 +64,39 @@ class Parts:
 
     Sizes lie in bands a little wider than den / num, so sets that link lie in one band or in neighbours; a set takes part in its
     own band's level and in the one below. With sizes up to `high` at a level, sets that link differ in at most
-    d = (den - num) * 2 * high / (den + num) shingles. Each shingle lies in one of d + 1 + SPARE ranges of hashes, so a set with more than d
+    d = (den - num) * 2 * high / (den + num) shingles. Each shingle lies in one of some 1.4 * d ranges of hashes, so a set with more than d
     ranges in use has one in use without a difference: that range's shingles are the same in both sets. The few
-    sets with fewer ranges in use give their empty ranges as parts too."""
+    sets with fewer ranges in use give their empty ranges as parts too.
+
+    More is true: any d + 1 ranges in use hold one without a difference. So a set needs only its d + 1 rarest parts, and those
+    as rare as the last of them: of two sets that link, the one whose last is rarer shares one of its parts with the other, which keeps it
+    as well. `of` gives with each part how many of the level's parts are more than d + 1 (times two, plus the level's parity; -1 or
+    -2 where all parts have to stay)."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.step = math.log(den / num) * 1.0001 if num < den else 1.0
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, num, den = len(s), self.num, self.den
         if not n or (n * den // num == n and -(-num * n // den) == n):  # only an equal set links
-            return np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         own = math.floor(math.log(n) / self.step)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25), out=total[1:])
-        out = []
+        out, room = [], []
         for level in (own, own - 1):
             high = math.floor(math.exp((level + 2) * self.step) * 1.000001) + 1
             d = (den - num) * 2 * high // (den + num)
-            m = d + 1 + SPARE
+            m = d + 1 + SPARE + 2 * d // 5
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
             cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             part = mix((total[cut[1:]] - total[cut[:-1]]) + mix(np.arange(m, dtype=np.uint64) + np.uint64((level + 2) << 32)) * np.uint64(3))
             used = cut[1:] > cut[:-1]
-            out.append(part if used.sum() <= d else part[used])
-        return np.concatenate(out)
+            few = used.sum() <= d
+            out.append(part if few else part[used])
+            room.append(np.full(len(out[-1]), (-1 if few else int(used.sum()) - d - 1) * 2 + level % 2, dtype=np.int32))
+        return np.concatenate(out), np.concatenate(room)
 
 
 REPEATS = 4
@@ -106,12 +113,12 @@ def _parts(k: int, num: int, den: int):
         for lo, hi in slices(texts):
             for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append(np.zeros(0, dtype=np.uint64) if key in seen else cutter.of(s))
+                out.append((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)) if key in seen else cutter.of(s))
                 seen.add(key)
-        flat, owner = np.concatenate(out), np.repeat(ids, [len(x) for x in out])
+        flat, room, owner = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]), np.repeat(ids, [len(x) for x, _ in out])
         # parts in order, the smallest id of each first
         at = np.argsort(flat, kind="stable")
-        flat, owner = flat[at], owner[at]
+        flat, owner, room = flat[at], owner[at], room[at]
         first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, dtype=np.int64)
         times = np.diff(np.append(first, len(flat)))
         many = np.repeat(times >= REPEATS, times)
@@ -119,7 +126,7 @@ def _parts(k: int, num: int, den: int):
         is_first = np.zeros(len(flat), dtype=bool)
         is_first[first] = True
         follow = many & ~is_first
-        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner), pa.array(many), pa.array(head, mask=~follow)], names=["part", "doc_id", "many", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner), pa.array(many), pa.array(head, mask=~follow), pa.array(room)], names=["part", "doc_id", "many", "head", "room"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,17 +357,22 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
 
     # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
     # batches, so a part that a third of all documents share takes few rows of one window
-    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long")
+    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long, room int")
     # rows with a head, which are few, go through the same shuffle, so that they and their heads come from one cut of the texts; each
     # chunk's are a group of their own, so a part that many documents share isn't one task's
     same = Window.partitionBy("part", "head")
-    met = cuts.select("part", "doc_id", "many", "head", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
-    met = materialize(met.where("c > 1 or many").select("part", "doc_id", "many", "head", "canon"), "ngram-met")
+    met = cuts.select("part", "doc_id", "many", "head", "room", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
+    met = materialize(met.where("c > 1 or many"), "ngram-met")
     headless = met.where("head is null")
-    heads = headless.where("many").select("part", F.col("doc_id").alias("head"), "canon").distinct()
-    followers = met.where("head is not null").select("part", "doc_id", "head").join(heads, ["part", "head"]).select("canon", "doc_id")
-    member = headless.select("canon", "doc_id").unionByName(followers).distinct().join(reps, "doc_id")
-    member = materialize(member, "ngram-groups")
+    heads = headless.where("many").select("part", F.col("doc_id").alias("head"), "canon", "c").distinct()
+    followers = met.where("head is not null").select("part", "doc_id", "head", "room").join(heads, ["part", "head"]).select("canon", "doc_id", "room", "c")
+    shared = headless.select("canon", "doc_id", "room", "c").unionByName(followers).join(reps, "doc_id")
+    # of each set and level the d + 1 rarest parts, those that only it has (which are not in `met`) being the first of them
+    level = Window.partitionBy("doc_id", F.pmod("room", F.lit(2)))
+    spare = F.floor(F.col("room") / 2)
+    ranked = shared.withColumn("need", F.when(spare < 0, F.count(F.lit(1)).over(level)).otherwise(F.count(F.lit(1)).over(level) - spare))
+    ranked = ranked.withColumn("rank", F.rank().over(level.orderBy("c"))).where("rank <= need")
+    member = materialize(ranked.select("canon", "doc_id", "n").distinct(), "ngram-groups")
     delete_tables(met)
     crowd = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("canon")
     member = member.join(crowd, "canon", "left_semi")
