@@ -23,16 +23,31 @@ def same_label(a: Column, b: Column) -> Column:
     return F.lower(a["label"]) == F.lower(b["label"])
 
 
-#: Match predicates by name, gold against prediction of one label.
-MATCHES: dict[str, Callable[[Column, Column], Column]] = {
+def stripped(s: Column) -> Column:
+    """Without white space of any script, and the separators \\x1c to \\x1f, at both ends."""
+    return F.regexp_replace(s, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+
+
+def near(tolerance: int) -> dict[str, Callable[[Column, Column], Column]]:
+    """Predicates on offsets that differ by `tolerance` at most."""
+    start = lambda g, p: F.abs(g["span_start"] - p["span_start"]) <= tolerance
+    end = lambda g, p: F.abs(g["span_end"] - p["span_end"]) <= tolerance
+    both = lambda g, p: start(g, p) & end(g, p)
+    return {"start": start, "end": end, "both": both, "relaxed": lambda g, p: both(g, p) & (overlap(g, p) > 0)}
+
+
+_ALIKE: dict[str, Callable[[Column, Column], Column]] = {
     "iou50": lambda g, p: iou(g, p) >= 0.5,
     "iou80": lambda g, p: iou(g, p) >= 0.8,
-    "text": lambda g, p: F.trim(g["text"]) == F.trim(p["text"]),
-    "start": lambda g, p: F.abs(g["span_start"] - p["span_start"]) <= 5,
-    "end": lambda g, p: F.abs(g["span_end"] - p["span_end"]) <= 5,
-    "both": lambda g, p: (F.abs(g["span_start"] - p["span_start"]) <= 5) & (F.abs(g["span_end"] - p["span_end"]) <= 5),
-    "relaxed": lambda g, p: (F.abs(g["span_start"] - p["span_start"]) <= 5) & (F.abs(g["span_end"] - p["span_end"]) <= 5) & (overlap(g, p) > 0),
+    "text": lambda g, p: stripped(g["text"]) == stripped(p["text"]),
 }
+#: Match predicates by name, gold against prediction of one label; offsets with a tolerance of 5.
+MATCHES = _ALIKE | near(5)
+
+
+def match_families(tolerances: tuple[int, ...] = (10, 50)) -> dict[str, Callable[[Column, Column], Column]]:
+    """All predicates, those on offsets once for each tolerance (start10, ...)."""
+    return _ALIKE | {f"{k}{t}": m for t in tolerances for k, m in near(t).items()}
 
 
 def greedy(gold: Column, pred: Column, matches: Callable[[Column, Column], Column]) -> Column:

@@ -30,9 +30,9 @@ def query(body: str, name: str | None = None, **more: str):
 # --- scans, joins, counts ---
 
 
-@query("SELECT d.doc_id, count(*) AS n FROM docmeta d JOIN anns a USING (doc_id) WHERE status = 'approved' AND is_annotated GROUP BY 1")
+@query("SELECT d.doc_id, count(DISTINCT segment_id) AS n FROM docmeta d JOIN anns a USING (doc_id) WHERE status = 'approved' AND is_annotated GROUP BY 1")
 def doc_ids_by_annotated_segments(v):
-    return v.anns.join(v.docmeta.where("status = 'approved' and is_annotated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "doc_id")
+    return v.anns.join(v.docmeta.where("status = 'approved' and is_annotated").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.countDistinct("segment_id").alias("n")).orderBy(F.desc("n"), "doc_id")
 
 
 @query("SELECT doc_id, filename, status, length(content) AS n FROM docmeta")
@@ -117,18 +117,22 @@ def collect_test_segments(v):
     return v.segs.join(keys, "segment_id").join(v.docmeta.where("is_annotated").select("doc_id"), "doc_id", "left_semi").select("doc_id", "segment_id", "text")
 
 
-@query("SELECT doc_id, segment_count, annotation_count FROM (SELECT doc_id, count(*) AS segment_count FROM segs GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS annotation_count FROM anns GROUP BY 1) USING (doc_id)")
+@query("SELECT doc_id, segment_count, coalesce(annotation_count, 0) AS annotation_count FROM (SELECT doc_id, count(*) AS segment_count FROM segs GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS annotation_count FROM anns GROUP BY 1) USING (doc_id)")
 def index_from_documents(v):
-    return v.segs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count")).join(v.anns.groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotation_count")), "doc_id", "left")
+    return v.segs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count")).join(v.anns.groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotation_count")), "doc_id", "left").fillna(0)
 
 
 @query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS span_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passage_spans(v):
-    b = v.read("benchmark").select("item_id", F.col("text").alias("passage")).withColumn("word", F.element_at(F.split("passage", " "), 2))
-    # documents meet only the passages whose second word they have
+    # an inner word of a passage is whole in every text that holds the passage: the longest routes it
+    inner = F.split(F.regexp_replace("text", "\n", " "), " ")
+    inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2))
+    b = v.read("benchmark").select("item_id", F.col("text").alias("passage"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
     words = v.docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
     met = words.join(b, "word").join(v.docs.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)"))
-    return met.select("item_id", "doc_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("span_start")).distinct()
+    short = v.docs.select("doc_id", "text").join(b.where("word is null"), F.expr("contains(text, passage)"))  # one or two words: no inner one
+    both = met.select("item_id", "doc_id", "text", "passage").unionByName(short.select("item_id", "doc_id", "text", "passage"))
+    return both.select("item_id", "doc_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("span_start")).distinct()
 
 
 # --- text, windows, labels ---
@@ -182,7 +186,7 @@ def tier_window_stats(v):
 
 
 _OVER = 'SELECT t.segment_id, tok, start, "end", label, span_start AS s, span_end AS e, row_number() OVER (PARTITION BY t.segment_id, tok ORDER BY span_start, span_start - span_end, label) AS o, tok = min(tok) OVER (PARTITION BY t.segment_id, label, span_start, span_end) AS first FROM toks t JOIN anns a ON a.segment_id = t.segment_id AND start < span_end AND "end" > span_start'
-_TAGS = {"over_ann": _OVER, "tag_rows": "SELECT segment_id, tok, arg_max((CASE WHEN first THEN 'B-' ELSE 'I-' END) || upper(label), o) AS tag FROM over_ann x WHERE label = (SELECT y.label FROM over_ann y WHERE y.segment_id = x.segment_id AND y.tok = x.tok AND y.o = 1) GROUP BY ALL"}
+_TAGS = {"over_ann": _OVER, "tag_rows": "SELECT segment_id, tok, arg_max((CASE WHEN first THEN 'B-' ELSE 'I-' END) || upper(label), o) AS tag FROM (SELECT *, first_value(label) OVER (PARTITION BY segment_id, tok ORDER BY o) AS lead FROM over_ann) WHERE label = lead GROUP BY ALL"}
 
 
 @query("SELECT t.segment_id, t.tok, coalesce(tag, 'O') AS tag FROM toks t LEFT JOIN tag_rows r USING (segment_id, tok)", **_TAGS)
@@ -369,8 +373,12 @@ def _bind(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], Data
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from spanloom.plans import more  # noqa: F401  registers its queries
+
     return {name: _bind(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from spanloom.plans import more  # noqa: F401
+
     return dict(_SQL)

@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from conftest import DATA
 
@@ -10,7 +11,7 @@ from spanloom.plans import registry
 
 def canon(df):
     def value(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         return round(x, 6) if isinstance(x, float) else x if isinstance(x, (bool, str)) else float(x)
 
