@@ -69,9 +69,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Logistic model that minimises prior * R_p+ + max(0, R_u- - prior * R_p-) with Adam; where the second
-    part falls below 0, the step goes up its gradient instead, as the estimator prescribes."""
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.08, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Logistic model that minimises prior * R_p+ + max(0, R_u- - prior * R_p-) with Adam, its rate
+    falling to 0; where the second part falls below 0, the step goes up its gradient instead, as the estimator prescribes."""
     both = np.vstack([positive, unlabelled])
     centre, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - centre) / scale, -6, 6) for x in (positive, unlabelled))
@@ -89,27 +89,30 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
         g = -prior * grad(xp, dp) + g_neg if negative >= 0 else -g_neg
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return Model(centre, scale, w, float(b), prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, margin: float = 0.25) -> float:
-    """The share of positives among unlabelled rows, from positives and unlabelled rows alone. A logistic model tells the two apart on one
-    half; on the other, for every threshold, the share of unlabelled rows above it over that of positives bounds the prior from
-    above, and the least of these bounds (each widened by `margin` standard errors) is the estimate. Within 0.05 to 0.95."""
-    rng, bounds = np.random.default_rng(3), []
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, margin: float = 0.25) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone. A logistic model tells the two apart, each
+    row scored by the fold that leaves it out; for every threshold, the share of unlabelled rows above it over that of positives
+    bounds the prior from above, and the least of these bounds (each widened by `margin` standard errors) is the estimate. Within 0.05 to 0.95."""
+    rng, sp, su = np.random.default_rng(3), [], []
     p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
     for k in range(folds):
-        model = nn_pu(p[k::folds], u[k::folds], 0.5, steps=300)
-        sp, su = np.sort(model.score(p[(k + 1) % folds :: folds])), np.sort(model.score(u[(k + 1) % folds :: folds]))
-        if not len(sp) or not len(su):
-            continue
-        at = np.quantile(sp, np.linspace(0.05, 0.9, 50))
-        above_p, above_u = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
-        wide = margin * (np.sqrt(above_p * (1 - above_p) / len(sp)) + np.sqrt(above_u * (1 - above_u) / len(su)))
-        bounds.append(float(((above_u + wide) / np.maximum(above_p - wide, 1e-6))[above_p > wide].min()))
-    return min(0.95, max(0.05, float(np.mean(bounds)) if bounds else 0.5))
+        out_p, out_u = np.arange(len(p)) % folds == k, np.arange(len(u)) % folds == k
+        if out_p.all() or out_u.all():
+            return 0.5
+        model = nn_pu(p[~out_p], u[~out_u], 0.5, steps=300)
+        sp.append(model.score(p[out_p]))
+        su.append(model.score(u[out_u]))
+    sp, su = np.sort(np.concatenate(sp)), np.sort(np.concatenate(su))
+    at = np.quantile(sp, np.linspace(0.05, 0.9, 50))
+    above_p, above_u = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
+    wide = margin * (np.sqrt(above_p * (1 - above_p) / len(sp)) + np.sqrt(above_u * (1 - above_u) / len(su)))
+    bounds = ((above_u + wide) / np.maximum(above_p - wide, 1e-6))[above_p > wide]
+    return min(0.95, max(0.05, float(bounds.min()))) if len(bounds) else 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000) -> Model:
