@@ -9,6 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def score_new_rows(spark: SparkSession, source: str, schema: str, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "row_id") -> StreamingQuery:
-    """Reads what has come to `source` since the last call, drops rows whose key was scored before, appends the rest."""
-    rows = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
-    return score(rows).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Reads what has come to `source` since the last call, drops rows whose key the sink has, appends the rest. No state is kept
+    between batches: the sink itself is what has been scored, so a batch that runs again writes nothing twice."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        session = batch.sparkSession
+        rows = batch.dropDuplicates([key])
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        files = path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(path.suffix("/_SUCCESS")):
+            rows = rows.join(session.read.parquet(sink).select(key), key, "left_anti")
+        score(rows).write.mode("append").parquet(sink)
+
+    rows = spark.readStream.schema(schema).parquet(source)
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
