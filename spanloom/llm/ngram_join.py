@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,20 +101,28 @@ class Parts:
 
 
 REPEATS = 4
+#: Rounds in which parts meet, each with its share of the hashes, so that the largest shuffle is this many times smaller.
+ROUNDS = 2
 
 
-def _parts(k: int, num: int, den: int):
-    """Rows of parts, combined within chunks of about 4 MB of text: of equal sets only the smallest id's parts are given (no other can be
+def _parts(k: int, num: int, den: int, turn: int = 0, rounds: int = 1):
+    """Rows of the round's parts (part % rounds == turn), combined within chunks of about 4 MB of text: of equal sets only the smallest id's parts are given (no other can be
     the smallest of its class). A part found in REPEATS documents of a chunk or more is marked as `many`, and its rows but the smallest
     id's have that id as `head`. So no part has more than REPEATS - 1 rows without a head a chunk."""
     cutter = Parts(num, den)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+
+    def of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part, room = cutter.of(s)
+        mine = part % np.uint64(rounds) == turn
+        return part[mine], room[mine]
 
     def combined(ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
         seen, out = set(), []
         for lo, hi in slices(texts):
             for s in shingle_sets(Words(texts.slice(lo, hi - lo), lower=True), k):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)) if key in seen else cutter.of(s))
+                out.append(none if key in seen else of(s))
                 seen.add(key)
         flat, room, owner = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]), np.repeat(ids, [len(x) for x, _ in out])
         # parts in order, the smallest id of each first
@@ -336,7 +345,7 @@ def search_groups(member: DataFrame, what: DataFrame, search, leaf: int) -> Data
     return connected_components(edges.unionByName(more))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", leaf: int = 1024) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", leaf: int = 1024, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs: component_id is the smallest doc_id that links reach.
 
     Links: documents whose sets of distinct k-word shingles (A-Z in lower case, words [^\\x20\\x09-\\x0D]+, whole texts)
@@ -345,7 +354,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     a component. Rows with a null id get the size of their set and a null component. An empty table gives no rows."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    moved = any(x in base._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InMemory", "Scan ExistingRDD"))
+    moved = any(x in base._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "InMemoryTableScan", "Scan ExistingRDD"))
     if moved:  # a task that runs again may get the rows of a shuffle in another order, and so cut them into other chunks
         base = materialize(base, "ngram-docs")
     sized = materialize(base.mapInArrow(_digests(k), "doc_id long, n long, f1 long, f2 long"), "ngram-digest")
@@ -357,12 +366,16 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
 
     # candidates: classes that agree in a part, under the smallest class of each such part; parts move once, combined within
     # batches, so a part that a third of all documents share takes few rows of one window
-    cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den), "part long, doc_id long, many boolean, head long, room int")
     # rows with a head, which are few, go through the same shuffle, so that they and their heads come from one cut of the texts; each
     # chunk's are a group of their own, so a part that many documents share isn't one task's
     same = Window.partitionBy("part", "head")
-    met = cuts.select("part", "doc_id", "many", "head", "room", F.min("doc_id").over(same).alias("canon"), F.count(F.lit(1)).over(same).alias("c"))
-    met = materialize(met.where("c > 1 or many"), "ngram-met")
+    tables = []
+    for turn in range(rounds):
+        cuts = base.where("doc_id is not null").mapInArrow(_parts(k, num, den, turn, rounds), "part long, doc_id long, many boolean, head long, room int")
+        cuts = cuts.withColumn("canon", F.min("doc_id").over(same)).withColumn("c", F.count(F.lit(1)).over(same)).where("c > 1 or many")
+        # only heads and their followers are joined by part later
+        tables.append(materialize(cuts.withColumn("part", F.when(F.col("many") | F.col("head").isNotNull(), F.col("part"))), "ngram-met"))
+    met = reduce(DataFrame.unionByName, tables)
     headless = met.where("head is null")
     heads = headless.where("many").select("part", F.col("doc_id").alias("head"), "canon", "c").distinct()
     followers = met.where("head is not null").select("part", "doc_id", "head", "room").join(heads, ["part", "head"]).select("canon", "doc_id", "room", "c")
@@ -373,7 +386,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     ranked = shared.withColumn("need", F.when(spare < 0, F.count(F.lit(1)).over(level)).otherwise(F.count(F.lit(1)).over(level) - spare))
     ranked = ranked.withColumn("rank", F.rank().over(level.orderBy("c"))).where("rank <= need")
     member = materialize(ranked.select("canon", "doc_id", "n").distinct(), "ngram-groups")
-    delete_tables(met)
+    delete_tables(*tables)
     crowd = member.groupBy("canon").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("canon")
     member = member.join(crowd, "canon", "left_semi")
 
