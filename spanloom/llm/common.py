@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,13 @@ def free_shuffles(spark: SparkSession) -> None:
 def delete_tables(*tables: DataFrame) -> None:
     """Deletes tables made by materialize() that no later step reads."""
     for df in tables:
-        spark = df.sparkSession
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        delete_folders(df.sparkSession, {p.rsplit("/", 1)[0] for p in df.inputFiles()})
+
+
+def delete_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -128,6 +128,39 @@ def test_directory_doubles():
     assert exact_dedup.directory({0: 9}, 2, 5) == [(2, 0), (2, 1), (1, 1)]
 
 
+def test_index_takes_a_second_batch(spark):
+    index = exact_dedup.ExtendibleIndex(spark, capacity=8)
+    first = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(first, index=index).collect()} == {(i, i, 1, True) for i in range(60)}
+    before = dict(index.buckets)
+    assert len(before) >= 60 / 8 and index.start(max(before, key=index.start)) > 0
+    second = spark.createDataFrame([(100, "text  3"), (101, "text3"), (102, "new")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(second, index=index).collect()}
+    assert got == {100: (100, 3, True), 101: (100, 3, False), 102: (102, 1, True)}
+    same = [b for b in before if before[b] and index.buckets.get(b) == before[b]]
+    assert len(same) >= len(before) - 2  # two buckets at most are written anew
+    index.vacuum()
+    assert index.entries().count() == 61
+    more = spark.createDataFrame([(200 + i, f"more {i}") for i in range(60)], "doc_id long, text string")
+    assert exact_dedup.exact_dedup(more, index=index).where("group_size = 1 and kept").count() == 60
+    assert len(index.buckets) > len(before) and index.entries().count() == 121
+
+
+def test_index_chains_texts_of_one_key(spark):
+    index = exact_dedup.ExtendibleIndex(spark, capacity=1)
+    rows = [(7, "a", 1, 1, 1), (7, "b", 1, 2, 1), (7, "a", 3, 5, 1), (-7, "a", 2, None, 1), (-7, "a", 2, 4, 2)]
+    df = spark.createDataFrame(rows, "key long, norm string, n int, keep_id long, members long")
+    for times in (1, 2):
+        index.add(df, df.select("key"))
+        got = {(r.key, r.norm, r.n, r.keep_id, r.members) for r in index.entries().collect()}
+        assert got == {(7, "a", 3, 5, 2 * times), (7, "b", 1, 2, times), (-7, "a", 2, None, 3 * times)}
+    assert sorted(index.buckets, key=index.start) == [(1, 0), (1, 1)]
+
+
+def test_exact_dedup_of_an_empty_table(docs):
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
 def test_line_dedup(docs, texts):
     key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
     df = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")} if k)
