@@ -2,7 +2,8 @@
 
 Codes of four bits a subspace are fitted so that the part of the residual parallel to the vector, which moves inner products
 most, costs more than the rest. Vectors lie in leaves around coarse centres; a query's tables of 16 sums a subspace scan the codes of
-every leaf in blocks, and the best of each block are ranked again by their exact cosine."""
+every leaf in blocks, and the best of each block are ranked again by their exact cosine. Codes are made once, two to a byte, and stored
+with the vectors; equal queries are searched once, and queries too are dealt in blocks, so that a task's share is bounded on both sides."""
 
 from __future__ import annotations
 
@@ -107,16 +108,18 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(a) * np.sqrt(b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, leaf_rows: int = 8192, probes: int | None = None, rerank: int = 400, block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, leaf_rows: int = 8192, probes: int | None = None, rerank: int = 400, block: int = 16_384, ask_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query's k nearest rows of vectors other than its own id, by cosine in double
     precision, nearest first, ties to the smaller id; all candidates, if there are fewer.
 
     queries: rows of the same columns. Vectors that are null, empty or zero, that hold null or non-finite components, or
     whose length isn't the commonest one take no part, nor do null ids; such queries return nothing. Equal vectors are searched as one and
-    give their smallest ids, so a hot vector adds no work. Rows that repeat an id and vector count once. The
+    give their smallest ids, and equal queries are searched once, so a hot vector adds no work. Rows that repeat an id and vector count
+    once; an id with several vectors counts by its nearest, and as a query by all of them. The
     index is fitted on `sample` rows at most, taken by a hash, and holds every row; centres are rows / leaf_rows, 4096 at most, and leaves
-    over `block` vectors are scanned in blocks, each exactly reranked. Every leaf is scanned at any size; a number of `probes` leaves a
-    query's other leaves out, which costs recall where vectors have no clusters. Empty tables give no rows."""
+    over `block` vectors are scanned in blocks, each exactly reranked, for `ask_block` queries or so at a time. Every leaf is scanned
+    at any size; a number of `probes` leaves a query's other leaves out, which costs recall where vectors have no clusters. Empty
+    tables give no rows."""
     spark = vectors.sparkSession
     clean = lambda df: (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -135,6 +138,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     keyed = base.withColumn("h", F.xxhash64("v"))
     ranked = keyed.withColumn("r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = materialize(ranked.groupBy("h", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("v", "ids"), "ann-classes")
+    # one row for each distinct query; its number stays the same once written
+    distinct = materialize(asked.select("v").distinct().select("v", F.monotonically_increasing_id().alias("q")), "ann-queries")
 
     part = classes.where(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))).select("v").limit(2 * sample)
     rows = part.toArrow().column(0).combine_chunks()  # about `sample` vectors
@@ -143,55 +148,74 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     index = fit(rows.flatten().to_numpy().reshape(-1, d), min(4096, max(1, -(-n // leaf_rows))))
     shared = spark.sparkContext.broadcast(index)
 
-    def place(probed: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if len(b):
-                    x = b.column(0).flatten().to_numpy().reshape(-1, d)
-                    leaf = shared.value.leaf(shared.value.unit(x), probed).astype(np.int32)
-                    flat = pa.array(leaf.ravel())
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * leaf.shape[1]), flat)], names=[*b.schema.names, "leaf"])
-
-        return run
-
-    stored = classes.mapInArrow(place(1), "v array<double>, ids array<long>, leaf array<int>").select("v", "ids", F.col("leaf")[0].alias("leaf"))
-    stored = materialize(stored, "ann-leaves")
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            if len(b):
+                unit = index.unit(matrix(b.column(0)))
+                codes = index.encode(unit, 4.0)
+                packed = codes[:, 0::2] * np.uint8(16) + codes[:, 1::2]
+                columns = [*b.columns, pa.array(index.leaf(unit)[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["v", "ids", "leaf", "codes"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                leaf = shared.value.leaf(shared.value.unit(matrix(b.column(0))), probes).astype(np.int32)
+                ends = pa.array(np.arange(len(b) + 1, dtype=np.int32) * leaf.shape[1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(leaf.ravel()))], names=["v", "q", "leaf"])
+
+    stored = materialize(classes.mapInArrow(store, "v array<double>, ids array<long>, leaf int, codes binary"), "ann-leaves")
     blocks = stored.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     salted = stored.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks")).cast("int"))  # 4096 leaves at most
-    asks = asked.select("v", "vec_id")
+    parts = blocks.select(F.col("leaf").alias("leaf"), F.col("blocks").alias("blocks"))  # apart from the columns of salted
     if probes is None:
-        asks = asks.crossJoin(F.broadcast(blocks.select(F.col("leaf").alias("leaf"), "blocks")))
+        asks = distinct.crossJoin(F.broadcast(parts))
     else:
-        asks = asks.mapInArrow(place(probes), "v array<double>, vec_id long, leaf array<int>").select("v", "vec_id", F.explode("leaf").alias("leaf"))
-        asks = asks.join(F.broadcast(blocks), "leaf")
-    asks = asks.select("v", "vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asks = distinct.mapInArrow(route, "v array<double>, q long, leaf array<int>").select("v", "q", F.explode("leaf").alias("leaf"))
+        asks = asks.join(F.broadcast(parts), "leaf")
+    shares = max(1, -(-distinct.count() // ask_block))
+    asks = asks.select("v", "q", "leaf", F.pmod(F.xxhash64("q"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    salted = salted.select("v", "ids", "codes", "leaf", "block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
 
     def scan(key, left, right):
-        out = {c: [] for c in ("query_id", "vec_id", "score")}
+        out = {c: [] for c in ("q", "vec_id", "score")}
         if left.num_rows and right.num_rows:
             index = shared.value
-            x = left.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-            ids = left.column("ids").to_pylist()
-            codes = index.encode(index.unit(x), 4.0)
-            pairs = codes[:, 0::2].astype(np.int64) * 16 + codes[:, 1::2]
-            q = right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
+            x, q = matrix(left.column("v")), matrix(right.column("v"))
+            ids, numbers = left.column("ids").to_pylist(), right.column("q").to_pylist()
+            pairs = np.frombuffer(b"".join(left.column("codes").to_pylist()), dtype=np.uint8).reshape(len(x), -1).T.copy()
             for lo in range(0, len(q), 64):
-                tables = index.tables(index.unit(q[lo : lo + 64]))
-                for at, table in enumerate(tables, lo):
-                    rough = table[0][pairs[:, 0]]
+                for at, table in enumerate(index.tables(index.unit(q[lo : lo + 64])), lo):
+                    rough = table[0][pairs[0]]
                     for s in range(1, table.shape[0]):
-                        rough += table[s][pairs[:, s]]
+                        rough += table[s][pairs[s]]
                     best = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
                     exact = _exact(q[at], x[best])
-                    own = right.column("vec_id")[at].as_py()
-                    # every class that could be among the k nearest: ties at the edge stay in
-                    edge = np.sort(exact)[::-1][min(k, len(exact) - 1)]
-                    for c, s in zip(best[exact >= edge].tolist(), exact[exact >= edge].tolist(), strict=True):
-                        for i in ids[c]:
-                            if i != own:
-                                out["query_id"].append(own), out["vec_id"].append(i), out["score"].append(s)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    hits = salted.groupBy("leaf", "block").cogroup(asks.groupBy("leaf", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+                    # the k + 1 nearest ids, the query's own perhaps among them
+                    found, worst = {}, None
+                    for c in np.argsort(-exact, kind="stable").tolist():
+                        if worst is not None and exact[c] < worst:
+                            break
+                        for i in ids[best[c]]:
+                            found.setdefault(i, float(exact[c]))
+                        if worst is None and len(found) > k:
+                            worst = exact[c]
+                    for i, score in sorted(found.items(), key=lambda f: (-f[1], f[0]))[: k + 1]:
+                        out["q"].append(numbers[at]), out["vec_id"].append(i), out["score"].append(score)
+        return pa.table({"q": pa.array(out["q"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    by = ["leaf", "block", "share"]
+    hits = salted.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(scan, "q long, vec_id long, score double")
+    hits = hits.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    nearest_of = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    hits = hits.withColumn("r", F.row_number().over(nearest_of)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
+    hits = materialize(hits, "ann-hits")
+    askers = asked.select("v", F.col("vec_id").alias("query_id")).join(distinct, "v").select("q", "query_id").distinct()
+    each = hits.join(askers, "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a query may have several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

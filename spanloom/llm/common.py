@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +25,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it, and bounds the bytes of a batch that they get, as
-    texts may be long."""
+    """Sends this package to the Python workers, once a session, by way of the shared folder, and bounds the bytes of a batch that
+    they get, as texts may be long."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default; other values are the user's
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
+    files = sorted(os.path.join(folder, name) for folder, _, names in os.walk(os.path.join(REPO, "spanloom")) for name in names if name.endswith(".py"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, os.path.relpath(f, REPO))
+    name = f"spanloom-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
+    sc = spark.sparkContext
+    if not files or any(f.endswith(name) for f in sc.listFiles):  # no files: imported from a package that was sent already
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,21 +88,20 @@ def delete_folders(spark: SparkSession, paths: Iterable[str]) -> None:
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b longs): root is the smallest node of its component.
 
-    Each round hooks every node to the smallest of itself and its neighbours, jumps pointers once
-    and contracts the edges, so that the number of nodes left at least halves. Every step is a join or an aggregate;
+    Each round orders all nodes anew by a hash, hooks every node to the first of itself and its neighbours, jumps pointers once and
+    contracts the edges, until no edge is left. One end of every edge hooks to another node, so nodes fall with every round; as the
+    order is random, chains of rising ids, stars and the like take about log(nodes) rounds too. Every step is a join or an aggregate;
     each round's tables are written to the shared folder. Edges with a null end and loops are ignored."""
     spark = edges.sparkSession
     left = materialize(edges.selectExpr("least(a, b) a", "greatest(a, b) b").where("a < b").distinct(), "cc-edges")
-    labels = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        both = left.unionByName(left.selectExpr("b a", "a b"))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("p"))
-        hook = materialize(hook, "cc-hook")
+    labels, r = None, 0
+    while not left.isEmpty():
+        both, place = left.unionByName(left.selectExpr("b a", "a b")), lambda c, r=r: F.xxhash64(F.col(c), F.lit(r))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", place("b")).alias("b"))
+        hook = materialize(first.select("node", F.when(place("b") < place("node"), F.col("b")).otherwise(F.col("node")).alias("p")), "cc-hook")
         up = hook.selectExpr("node p", "p pp")
         jump = materialize(hook.join(up, "p", "left").selectExpr("node", "coalesce(pp, p) root"), "cc-jump")
         if labels is None:
@@ -100,6 +113,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         left = materialize(
             left.join(ja, "a").join(jb, "b").selectExpr("least(ra, rb) a", "greatest(ra, rb) b").where("a < b").distinct(), "cc-edges"
         )
-    else:
-        raise RuntimeError("connected_components: rounds exhausted")
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+        r += 1
+    if labels is None:
+        return spark.createDataFrame([], "node long, root long")
+    least = materialize(labels.groupBy("root").agg(F.min("node").alias("least")), "cc-least")
+    return labels.join(least, "root").selectExpr("node", "least root")

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from spanloom.llm import ann, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii, quality, queries, substring_dedup
-from spanloom.llm.common import connected_components
+from spanloom.llm.common import connected_components, ship
 from spanloom.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -358,6 +359,44 @@ def test_ann_scans_every_leaf(spark):
     assert len(rows) == 200 and len(best & {(r.query_id, r.vec_id) for r in rows}) >= 0.9 * 200
 
 
+def test_ann_in_many_shares(spark):
+    """Blocks of vectors and shares of queries, repeated rows, an id with two vectors, a third of all queries equal, clashing columns."""
+    x = np.random.default_rng(6).normal(size=(500, 12))
+    x[0:150] = x[0]
+    rows = [(i, v.tolist(), 1, "a") for i, v in enumerate(x)] + [(7, x[7].tolist(), 2, "b"), (499, x[0].tolist(), 3, "c"), (None, x[3].tolist(), 4, "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, q string").repartition(5)
+    one = sorted(tuple(r) for r in ann.nearest(df, df, k=3).collect())
+    many = sorted(tuple(r) for r in ann.nearest(df, df, k=3, leaf_rows=60, block=25, ask_block=40).collect())
+    assert one == many and len(one) == 1500
+    of = {q: [i for a, _, i, _ in one if a == q] for q in (0, 1, 7, 499)}
+    assert of == {0: [1, 2, 3], 1: [0, 2, 3], 7: [0, 1, 2], 499: [0, 1, 2]}
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(1000, i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(200)] + [(3000 + (i * 37) % 101, 3000 + ((i + 1) * 37) % 101) for i in range(100)] + [(5, 5), (None, 3)]
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect())
+    assert got == {i: 0 for i in [*range(50), 1000]} | {2000 + i: 2000 for i in range(201)} | {3000 + i: 3000 for i in range(101)}
+
+
+def test_workers_get_the_package(spark):
+    """The package goes through the shared folder, once, and workers can import it from there."""
+    ship(spark)
+    ship(spark)
+    names = [f for f in spark.sparkContext.listFiles if "spanloom-" in f]
+    assert len(names) == 1
+
+    def where(batches):
+        import zipfile
+
+        from pyspark import SparkFiles
+
+        for b in batches:
+            path = SparkFiles.get(names[0].rsplit("/", 1)[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(["spanloom/llm/textvec.py" in zipfile.ZipFile(path).namelist()] * len(b))], names=["ok"])
+
+    assert all(r.ok for r in spark.range(4).mapInArrow(where, "ok boolean").collect())
+
+
 def test_queries_match_sql(spark, oracle):
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, DATA).toPandas()
