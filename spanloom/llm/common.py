@@ -91,15 +91,16 @@ def delete_folders(spark: SparkSession, paths: Iterable[str]) -> None:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b longs): root is the smallest node of its component.
 
-    Each round orders all nodes anew by a hash, hooks every node to the first of itself and its neighbours, jumps pointers once and
-    contracts the edges, until no edge is left. One end of every edge hooks to another node, so nodes fall with every round; as the
-    order is random, chains of rising ids, stars and the like take about log(nodes) rounds too. Every step is a join or an aggregate;
+    Each round hooks every node to the first of itself and its neighbours, jumps pointers once and contracts the edges, until no edge
+    is left. One end of every edge hooks to another node, so nodes fall with every round. The first two rounds go by id, which ends
+    stars; from the third on each round orders the nodes anew by a hash, so that chains of rising ids and the like take about
+    log(nodes) rounds too. Every step is a join or an aggregate;
     each round's tables are written to the shared folder. Edges with a null end and loops are ignored."""
     spark = edges.sparkSession
     left = materialize(edges.selectExpr("least(a, b) a", "greatest(a, b) b").where("a < b").distinct(), "cc-edges")
     labels, r = None, 0
     while not left.isEmpty():
-        both, place = left.unionByName(left.selectExpr("b a", "a b")), lambda c, r=r: F.xxhash64(F.col(c), F.lit(r))
+        both, place = left.unionByName(left.selectExpr("b a", "a b")), lambda c, r=r: F.col(c) if r < 2 else F.xxhash64(F.col(c), F.lit(r))
         first = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", place("b")).alias("b"))
         hook = materialize(first.select("node", F.when(place("b") < place("node"), F.col("b")).otherwise(F.col("node")).alias("p")), "cc-hook")
         up = hook.selectExpr("node p", "p pp")
