@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the tables of a folder, and the SQL of those that SQL can express.
+"""The queries op1_ to op13_ over the tables of a folder, and the SQL of those that SQL can express.
 
 Each query's columns are a digest of its operator's output."""
 
@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii, quality, substring_dedup
+from spanloom.llm import alignment, ann, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii, quality, rank_bpe, spelling, substring_dedup
 from spanloom.llm.common import read_table, ship
 
 #: Documents whose labels and languages are never learned from.
@@ -73,13 +73,25 @@ def op10_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), least=7, min_count=2, factor=10, drop_each=31)
+
+
+def op13_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_anisotropic_ann, op2_language_bitmask, op3_signature_tree_join, op4_suffix_array_pieces, op5_boosted_pii, op6_pu_quality, op7_cost_packing, op8_recompression_dedup, op9_extendible_hash_dedup, op10_levelled_line_dedup, pipeline]
+_ALL = [op1_anisotropic_ann, op2_language_bitmask, op3_signature_tree_join, op4_suffix_array_pieces, op5_boosted_pii, op6_pu_quality, op7_cost_packing, op8_recompression_dedup, op9_extendible_hash_dedup, op10_levelled_line_dedup, op11_spill_alignment, op12_spelling_variants, op13_rank_array_bpe, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
