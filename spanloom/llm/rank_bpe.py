@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.pieces import Known
 from spanloom.llm.textvec import slices
 
 #: White space of the vocabulary's patterns; Python's own also counts U+001C to U+001F, which the patterns take for signs.
@@ -29,6 +28,24 @@ REMEMBERED = 300_000
 _loaded: dict[str, "RankTable"] = {}
 
 
+class Learned:
+    """Stretches with their ids, one after the other."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self._ids, self._counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(texts, range(len(self.number), len(self.number) + len(texts)), strict=True))
+        self._ids.append(ids)
+        self._counts.append(counts)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each stretch has)."""
+        self._ids, self._counts = [np.concatenate(self._ids)], [np.concatenate(self._counts)]
+        return self._ids[0], self._counts[0]
+
+
 class RankTable:
     """The joins of a tokenizers file by pairs of ids, its ids by signs, and its rules for cutting texts into words."""
 
@@ -44,7 +61,15 @@ class RankTable:
         vocab = model["vocab"]
         rules = Tokenizer.from_file(path)
         self.normalizer, self.cutter = rules.normalizer, rules.pre_tokenizer
-        self.suffix, self.signs = model.get("end_of_word_suffix") or "", vocab
+        suffix = model.get("end_of_word_suffix") or ""
+        codes = [(ord(t[0]), i, t != t[0]) for t, i in vocab.items() if t and t in (t[0], t[0] + suffix)]
+        # ids of single signs by code point, within a word and at its end
+        self.within, self.final = np.full((2, max(c for c, _, _ in codes) + 1), -1, dtype=np.int64)
+        for c, i, last in codes:
+            if not last:
+                self.within[c] = i
+            if last or not suffix:
+                self.final[c] = i
         self.added = {x["content"]: x["id"] for x in added}
         self.literal = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -102,7 +127,9 @@ class RankTable:
             keep[at + 1] = False
             at -= np.arange(len(at))  # the places once the boundaries are gone
             part, word, rank = part[keep], word[keep], rank[keep]
-            stale = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            mark = np.zeros(len(part), dtype=bool)
+            mark[at] = mark[at[at > 0] - 1] = True
+            stale = np.flatnonzero(mark)
             inner = stale[stale + 1 < len(part)]
             inner = inner[word[inner] == word[inner + 1]]
             rank[stale] = NONE
@@ -113,44 +140,52 @@ class RankTable:
         order = np.argsort(word, kind="stable")
         return part[order], word[order]
 
-    def stretches(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of stretches without white space."""
-        part, word, n = [], [], 0
-        placed: list[list[tuple[int, int]]] = []  # of each stretch: (number of a word, -1) or (-1, id of an added token)
-        for text in texts:
-            mine = []
-            for piece in self.literal.split(text) if self.literal else [text]:
-                if piece in self.added:
-                    mine.append((-1, self.added[piece]))
-                    continue
-                for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(piece)) if piece else []:
-                    signs = [*w[:-1], w[-1] + self.suffix]
-                    ids = [self.signs[s] for s in signs if s in self.signs]
-                    part += ids
-                    word += [n] * len(ids)
-                    mine.append((n, -1))
-                    n += 1
-            placed.append(mine)
-        part, word = self.join(np.array(part, dtype=np.int64), np.array(word, dtype=np.int64))
-        cut = np.searchsorted(word, np.arange(n + 1))
-        none = np.zeros(0, np.int64)
-        return [np.concatenate([part[cut[k] : cut[k + 1]] if k >= 0 else np.array([i]) for k, i in mine]) if mine else none for mine in placed]
-
-    def encode(self, texts: list[str], known: Known) -> tuple[np.ndarray, np.ndarray]:
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each text has) of texts that have neither white space nor added tokens; all are normalised and cut at once, as no rule reaches
+        over white space."""
+        whole = self.normalizer.normalize_str(" ".join(texts))
+        words = self.cutter.pre_tokenize_str(whole)
+        gaps = np.flatnonzero(np.frombuffer(whole.encode("utf-32-le"), np.uint32) == 32)
+        if len(gaps) != len(texts) - 1:
+            raise ValueError("white space isn't what the vocabulary's rules take it for")
+        owner = np.searchsorted(gaps, np.fromiter((s for _, (s, _) in words), dtype=np.int64, count=len(words)))
+        size = np.fromiter((len(w) for w, _ in words), dtype=np.int64, count=len(words))
+        codes = np.frombuffer("".join([w for w, _ in words]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        part, last = self.within[codes], np.cumsum(size) - 1
+        part[last] = self.final[codes[last]]
+        word, known = np.repeat(np.arange(len(words)), size), part >= 0  # signs without an id are left out, as the library does
+        part, word = self.join(part[known], word[known])
+        return part, np.bincount(owner[word], minlength=len(texts)).astype(np.int64)
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each stretch has) of stretches without white space."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = [self.literal.split(t) if self.literal and self.literal.search(t) else None for t in texts]
+        if not any(cut):
+            return self.plain(texts)
+        between = [p for t, pieces in zip(texts, cut, strict=True) for p in (pieces or [t]) if p and p not in self.added]
+        ids, counts = self.plain(between) if between else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        mine = [[np.array([self.added[p]]) if p in self.added else next(found) for p in (pieces or [t]) if p] for t, pieces in zip(texts, cut, strict=True)]
+        return np.concatenate([x for m in mine for x in m]), np.array([sum(map(len, m)) for m in mine], dtype=np.int64)
+
+    def encode(self, texts: list[str], known: Learned) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text). known: stretches encoded before."""
-        cut = [_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+        cut = [[s for s in _SPACE.split(t) if s] if _SEPARATORS.search(t) else t.split() for t in texts]
         number = known.number
         new = list(dict.fromkeys(s for stretches in cut for s in stretches if s not in number))
         lo, room = 0, 0
         for i, s in enumerate(new):
             room += len(s) + 1
             if room > 1 << 19 or i == len(new) - 1:
-                known.add(new[lo : i + 1], self.stretches(new[lo : i + 1]))
+                known.add(new[lo : i + 1], *self.stretches(new[lo : i + 1]))
                 lo, room = i + 1, 0
         which = np.fromiter((number[s] for stretches in cut for s in stretches), dtype=np.int64)
-        count = known.counts()[which]
+        flat, counts = known.flat()
+        start, count = (np.cumsum(counts) - counts)[which], counts[which]
         at = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        ids = known.flat()[np.arange(at[-1]) + np.repeat(known.starts()[which] - at[:-1], count)]
+        ids = flat[np.arange(at[-1]) + np.repeat(start - at[:-1], count)]
         return ids, at[np.concatenate([[0], np.cumsum([len(s) for s in cut])]).astype(np.int64)]
 
 
@@ -166,11 +201,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     place = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = RankTable.load(path), Known()
+        table, known = RankTable.load(path), Learned()
         for b in batches:
             for lo, hi in slices(b.column(place), 2 << 20):
                 if len(known.number) > REMEMBERED:
-                    known = Known()
+                    known = Learned()
                 ids, offsets = table.encode([t or "" for t in b.column(place).slice(lo, hi - lo).to_pylist()], known)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns], lists], names=[*b.schema.names, "token_ids"])
