@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,39 +41,24 @@ _ODD = re.compile(r"^\s|\s ")
 _loaded: dict[tuple[str, str], "Aligner"] = {}
 
 
-def overlaps(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens of one byte string by their ends: pairs (i, j) whose ranges overlap, and the groups' ends (i, j), exclusive, where both end."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
-        x, y = ends_a[i], ends_b[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append((i, j))
-    return links, groups
-
-
 class Stretches:
-    """What is known of stretches of text: counts, links one after the other, and groups as text."""
+    """What is known of stretches of text: n_a, n_b, n_groups, n_links and whether it is broken; links one after the other; groups as text."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.groups: list[str] = []
-        self._sizes, self._links = [np.zeros((0, 5), np.int64)], [np.zeros(0, np.int64)]
+        self._sizes, self._links, self._groups = [np.zeros((0, 5), np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.string())]
 
-    def add(self, text: str, n_a: int, n_b: int, groups: list[str], links: list[int], good: bool) -> None:
-        self.number[text] = len(self.groups)
-        self.groups.append(";".join(groups))
-        self._sizes.append(np.array([[n_a, n_b, len(groups), len(links), not good]], dtype=np.int64))
-        self._links.append(np.array(links, dtype=np.int64))
+    def add(self, texts: list[str], sizes: np.ndarray, links: np.ndarray, groups: pa.Array) -> None:
+        self.number.update(zip(texts, range(len(self.number), len(self.number) + len(texts)), strict=True))
+        self._sizes.append(sizes), self._links.append(links), self._groups.append(groups)
 
-    def sizes(self) -> np.ndarray:
-        self._sizes = [np.concatenate(self._sizes)]
-        return self._sizes[0]
+    def flat(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        self._sizes, self._links, self._groups = [np.concatenate(self._sizes)], [np.concatenate(self._links)], [pa.concat_arrays(self._groups)]
+        return self._sizes[0], self._links[0], self._groups[0]
 
-    def links(self) -> np.ndarray:
-        self._links = [np.concatenate(self._links)]
-        return self._links[0]
+
+def lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 class Aligner:
@@ -82,15 +68,16 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = encoder(ranks_path), sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.bytes_b = []
-        for i in range(self.b.get_piece_size()):
-            t = self.b.id_to_piece(i)
-            self.bytes_b.append(bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode())
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
+        self.bytes_a = [self.a.decode_single_token_bytes(i) if i != self.a.eot_token else b"" for i in range(self.a.n_vocab)]
+        self.long_a, self.long_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         self.mark = self.b.piece_to_id(MARK)
-        if any(MARK in t.lstrip(MARK) for t in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
+        if any(MARK in t.lstrip(MARK) for t in pieces):
             raise ValueError("a piece holds a space inside, so stretches can't be told apart")
         if self.a.n_vocab > 1 << A_BITS:
             raise ValueError("ids of A don't fit a pair's code")
+        self.named = pa.array([str(i) for i in range(max(self.a.n_vocab, len(pieces)))])
 
     @classmethod
     def load(cls, ranks_path: str, model_path: str) -> Aligner:
@@ -105,21 +92,37 @@ class Aligner:
         return _AFTER_WORD.split(text) if _ODD.search(text) else text.split(" ")
 
     def learn(self, new: list[str], known: Stretches) -> None:
-        for text, b in zip(new, self.b.encode(new, num_threads=1), strict=True):
-            raw = (" " + text).encode()
-            a = self.a.encode_ordinary(" " + text)
-            b = b if text else [self.mark]
-            bytes_a, bytes_b = [self.a.decode_single_token_bytes(i) for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-                known.add(text, 0, 0, [], [], False)
-                continue
-            ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
-            links, ends = overlaps(ends_a, ends_b)
-            groups, i, j = [], 0, 0
-            for x, y in ends:
-                groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                i, j = x, y
-            known.add(text, len(a), len(b), groups, [b[j] << A_BITS | a[i] for i, j in links], True)
+        """Tokens of both sides lie on one axis of bytes, stretch after stretch. Between two neighbouring ends, of whichever side, lies one A
+        and one B token: that is a link. Ends of both sides at once are ends of groups."""
+        # A reads all at once the stretches that end in a sign: a word of its begins at each space behind one
+        tight, loose = [t for t in new if t and not t[-1].isspace()], [t for t in new if not t or t[-1].isspace()]
+        new = tight + loose
+        if not new:
+            return
+        raw = [(" " + t).encode() for t in new]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        apart = [self.a.encode_ordinary(" " + t) for t in loose]
+        flat_a = np.array([*(self.a.encode_ordinary(" " + " ".join(tight)) if tight else []), *(i for x in apart for i in x)], dtype=np.int64)
+        n_a = np.diff(np.searchsorted(np.cumsum(self.long_a[flat_a]), np.cumsum(sizes), "right"), prepend=0)
+        ids_b = [b if t else [self.mark] for t, b in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        n_b = np.fromiter(map(len, ids_b), dtype=np.int64, count=len(new))
+        flat_b = np.fromiter((i for x in ids_b for i in x), dtype=np.int64, count=int(n_b.sum()))
+        one = np.repeat(np.arange(len(new)), n_b)
+        good = np.bincount(one, self.long_b[flat_b], len(new)) == sizes
+        said = np.frombuffer(b"".join([self.bytes_b[i] for i in flat_b[good[one]].tolist()]), np.uint8)
+        want = np.frombuffer(b"".join([r for r, ok in zip(raw, good.tolist(), strict=True) if ok]), np.uint8)
+        good[np.flatnonzero(good)[np.searchsorted(np.cumsum(sizes[good]), np.flatnonzero(said != want), "right")]] = False
+        flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[good[one]]
+        n_a, n_b, sizes = n_a * good, n_b * good, sizes * good
+        ends_a, ends_b = np.cumsum(self.long_a[flat_a]), np.cumsum(self.long_b[flat_b])
+        axis = np.cumsum(sizes)
+        ends, cuts = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        links = flat_b[np.searchsorted(ends_b, ends)] << A_BITS | flat_a[np.searchsorted(ends_a, ends)]
+        each = lambda at: np.diff(np.searchsorted(at, axis, "right"), prepend=0)
+        n_groups = each(cuts)
+        sides = [pc.binary_join(lists(np.diff(np.searchsorted(own, cuts, "right"), prepend=0), self.named.take(pa.array(flat))), ",") for own, flat in ((ends_a, flat_a), (ends_b, flat_b))]
+        groups = pc.binary_join(lists(n_groups, pc.binary_join_element_wise(*sides, "|")), ";")
+        known.add(new, np.stack([n_a, n_b, n_groups, each(ends), ~good], axis=1).astype(np.int64), links, groups)
 
 
 def shuffled(x: np.ndarray, kind: str) -> bytes:
@@ -193,7 +196,7 @@ def spill(docs: DataFrame, ranks_path: str, model_path: str, radix: int, records
         for b in batches:
             if types is None:
                 types = [pa.int64(), b.column(0).type, *[pa.int64()] * 4, *[pa.string()] * (1 + with_groups), pa.int64(), pa.string(), *[pa.binary()] * 5]
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), 2 << 20):
                 if len(known.number) > REMEMBERED:
                     known = Stretches()
                 texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
@@ -201,25 +204,22 @@ def spill(docs: DataFrame, ranks_path: str, model_path: str, radix: int, records
                 aligner.learn(list(dict.fromkeys(s for c in cut for s in c if s not in known.number)), known)
                 which = np.fromiter((known.number[s] for c in cut for s in c), dtype=np.int64)
                 owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-                sizes = known.sizes()
+                sizes, known_links, known_groups = known.flat()
                 total = np.stack([np.bincount(owner, sizes[which, k], len(cut)).astype(np.int64) for k in range(5)]) if len(which) else np.zeros((5, len(cut)), np.int64)
                 bad = total[4] > 0
                 total[:, bad] = 0
-                groups, at = [], 0
-                for c, broken in zip(cut, bad.tolist(), strict=True):
-                    groups.append(";".join([known.groups[k] for k in which[at : at + len(c)].tolist()]) if c and not broken else "")
-                    at += len(c)
+                live = ~bad[owner] if len(owner) else np.zeros(0, bool)
+                which, owner = which[live], owner[live]
+                groups = pc.binary_join(lists(np.bincount(owner, minlength=len(cut)), known_groups.take(pa.array(which))), ";").to_pylist()
                 said = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 arrays = [np.arange(key, key + len(cut)), b.column(0).slice(lo, hi - lo), *total[:4], pa.array(said), *([pa.array(groups)] if with_groups else [])]
                 arrays = [pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays]
                 yield pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(cut), t) for t in types[len(fields) :]]], names=schema.fieldNames())
                 # links of all documents of the slice, those of one pair and document added up
-                live = ~bad[owner] if len(owner) else np.zeros(0, bool)
-                which, owner = which[live], owner[live]
                 many = sizes[which, 3]
                 ends = np.cumsum(many)
                 start = (np.cumsum(sizes[:, 3]) - sizes[:, 3])[which]
-                code = known.links()[np.arange(many.sum()) + np.repeat(start - ends + many, many)]
+                code = known_links[np.arange(many.sum()) + np.repeat(start - ends + many, many)]
                 place = np.repeat(owner, many) + (key - base)
                 joint, times = np.unique(place.astype(np.int64) << 40 | code, return_counts=True)
                 held.append((joint & ((1 << 40) - 1), joint >> 40, times))
