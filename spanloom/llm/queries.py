@@ -143,5 +143,23 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kep
 """
 
 
+_OP12 = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(range(0, 8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS r FROM documents),
+keyed AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT r, n, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substring(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS b FROM (SELECT r, n, hex(encode(id || ':' || r)) AS x FROM keyed)),
+hashed AS (SELECT r, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) AS h FROM bytes, tab),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+open_ AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM open_ a JOIN open_ b ON a.i = b.i AND a.v = b.v AND a.word < b.word UNION SELECT w.word, o.word FROM open_ o JOIN words w ON w.word = o.v),
+both_ AS (SELECT a AS word, b AS near FROM near UNION ALL SELECT b, a FROM near),
+best AS (SELECT b.word, count(*) AS n_near, arg_min(near, {'n': -y.n, 'w': near}) AS form, max(y.n) AS form_n FROM both_ b JOIN words y ON y.word = near GROUP BY 1),
+formed AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT k.word, k.next, f.form FROM walk k JOIN formed f ON f.word = k.next)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.next IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": _OP3, "op8_recompression_dedup": _OP8, "op9_extendible_hash_dedup": _OP9, "op10_levelled_line_dedup": _OP10}
+    return {"op3_signature_tree_join": _OP3, "op8_recompression_dedup": _OP8, "op9_extendible_hash_dedup": _OP9, "op10_levelled_line_dedup": _OP10, "op12_spelling_variants": _OP12}
