@@ -50,18 +50,34 @@ def match_families(tolerances: tuple[int, ...] = (10, 50)) -> dict[str, Callable
     return _ALIKE | {f"{k}{t}": m for t in tolerances for k, m in near(t).items()}
 
 
-def greedy(gold: Column, pred: Column, matches: Callable[[Column, Column], Column]) -> Column:
-    """True positives of one-to-one matching: each gold span in order takes the first unused prediction that matches."""
+def one_to_one(gold: Column, pred: Column, matches: Callable[[Column, Column], Column]) -> Column:
+    """True positives of one-to-one matching: each gold element in order takes the first unused prediction that matches."""
     places = F.when(F.size(pred) > 0, F.sequence(F.lit(0), F.size(pred) - 1)).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<int>")
 
     def step(used: Column, g: Column) -> Column:
-        free = F.filter(places, lambda j: ~F.array_contains(used, j) & same_label(g, F.get(pred, j)) & matches(g, F.get(pred, j)))
+        free = F.filter(places, lambda j: ~F.array_contains(used, j) & matches(g, F.get(pred, j)))
         return F.concat(used, F.slice(free, 1, 1))
 
     return F.size(F.aggregate(gold, none, step))
 
 
+def greedy(gold: Column, pred: Column, matches: Callable[[Column, Column], Column]) -> Column:
+    """one_to_one() of spans whose labels agree, whatever their case."""
+    return one_to_one(gold, pred, lambda g, p: same_label(g, p) & matches(g, p))
+
+
+def multiset_hits(gold: Column, pred: Column) -> Column:
+    """How many elements two arrays share, repeats counted as often as both have them."""
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+    return F.aggregate(F.transform(F.array_intersect(gold, pred), lambda t: F.least(times(gold, t), times(pred, t))), F.lit(0), lambda s, x: s + x)
+
+
+def normal_text(s: Column) -> Column:
+    """Stripped, then without white space and the marks U+0F0B and U+0F0D at the end."""
+    return F.regexp_replace(stripped(s), "(?U)[\\s\\x1c-\\x1f\\u0F0B\\u0F0D]+$", "")
+
+
 def exact_hits(gold: Column, pred: Column) -> tuple[Column, Column, Column]:
     """(tp, fp, fn) on sets of (label, start, end): duplicates count once."""
     key = lambda s: F.struct(F.lower(s["label"]), s["span_start"], s["span_end"])

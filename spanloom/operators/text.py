@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import labels
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -18,16 +20,35 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def tokens(segs: DataFrame, delimiters: str = " ") -> DataFrame:
-    """Pieces of text up to and with a delimiter, with offsets; blank pieces are dropped, offsets stay true."""
+    """Pieces of text up to and with one delimiter, with offsets; pieces of white space and lone delimiters are dropped, offsets stay true."""
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"[^{delimiters}]+[{delimiters}]?|[{delimiters}]"), F.lit(0))
     ends = F.transform(pieces, lambda x, i: F.struct(F.length(x).alias("n"), x.alias("piece"), i.alias("i")))
     each = segs.select("doc_id", "segment_index", "segment_id", F.explode(ends).alias("p")).select("doc_id", "segment_index", "segment_id", "p.*")
     own = Window.partitionBy("segment_id").orderBy("i")
     each = each.withColumn("start", F.coalesce(F.sum("n").over(own.rowsBetween(*BEFORE)), F.lit(0))).withColumn("end", F.col("start") + F.col("n"))
-    kept = each.where(F.trim("piece") != "")
+    kept = each.where(F.col("piece").rlike(f"^[^{delimiters}]") & ~F.col("piece").rlike("(?U)^[\\s\\x1c-\\x1f]*$"))
     return kept.withColumn("tok", F.row_number().over(own) - 1).drop("i", "n")
 
 
+def text_windows(rows: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+    """rows (text, offsets: array<struct<start, end>>) with windows of text from either end: name, char_start, char_end, n_tokens, window_text.
+
+    Up to 2 * size tokens: one window "full" with the whole text, from the first token to the last; a text without a token has an empty one. Else
+    "begin" and "end" of `size` tokens each, whose text is that of their tokens, one after the other."""
+    n = F.size("offsets")
+    edge = lambda toks, i, c: F.coalesce(F.get(toks, i)[c].cast("long"), F.lit(0).cast("long"))
+
+    def window(name: str, toks: Column, whole: bool) -> Column:
+        said = F.array_join(F.transform(toks, lambda t: span_text(F.col(text_col), t["start"], t["end"])), "")
+        return F.struct(F.lit(name).alias("name"), edge(toks, F.lit(0), "start").alias("char_start"), edge(toks, F.size(toks) - 1, "end").alias("char_end"), F.size(toks).cast("long").alias("n_tokens"), (F.when(n > 0, F.col(text_col)).otherwise(F.lit("")) if whole else said).alias("window_text"))
+
+    full = F.array(window("full", F.col("offsets"), True))
+    two = F.array(window("begin", F.slice("offsets", 1, size), False), window("end", F.slice("offsets", n - size + 1, F.lit(size)), False))
+    kept = [c for c in rows.columns if c not in (text_col, "offsets")]
+    w = rows.select(*kept, F.explode(F.when(n <= 2 * size, full).otherwise(two)).alias("w"))
+    return w.select(*kept, "w.*")
+
+
 def annotations(segs: DataFrame, toks: DataFrame) -> DataFrame:
     """Gold spans: the first three tokens of every third segment (title), the last two of every fifth (author)."""
     n = toks.withColumn("n_tok", F.count(F.lit(1)).over(Window.partitionBy("segment_id")))
@@ -59,8 +80,8 @@ def span_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (lo + 1).cast("int"), (hi - lo).cast("int"))
 
 
-def slide_windows(n_tokens: DataFrame, window: int, step: int, slides: int, keep: str = "reference") -> DataFrame:
-    """Token windows from either end of each segment: segment_id, side, slide_index, start_tok, end_tok.
+def with_windows(rows: DataFrame, window: int, step: int, slides: int, keep: str = "reference", n: str = "n_tok") -> DataFrame:
+    """rows with ws, the token windows from either end of each row's n tokens: array<struct<side, slide_index, start_tok, end_tok>>.
 
     keep="reference": a window that lies in another goes, so two equal ones go both; "first": the first of equals stays."""
     def both(n: Column) -> Column:
@@ -77,23 +98,32 @@ def slide_windows(n_tokens: DataFrame, window: int, step: int, slides: int, keep
         inside = (v["start_tok"] <= w["start_tok"]) & (w["end_tok"] <= v["end_tok"]) & (place(v) != place(w))
         return inside if keep == "reference" else inside & ((v["start_tok"] != w["start_tok"]) | (v["end_tok"] != w["end_tok"]) | (place(v) < place(w)))
 
-    ws = n_tokens.withColumn("ws", both(F.col("n_tok").cast("int")))
-    left = F.filter("ws", lambda w: ~F.exists("ws", lambda v: covered(w, v)))
-    return ws.select("segment_id", "n_tok", F.explode(left).alias("w")).select("segment_id", "n_tok", "w.*")
+    ws = rows.withColumn("ws", both(F.col(n).cast("int")))
+    return ws.withColumn("ws", F.filter("ws", lambda w: ~F.exists("ws", lambda v: covered(w, v))))
+
+
+def slide_windows(n_tokens: DataFrame, window: int, step: int, slides: int, keep: str = "reference") -> DataFrame:
+    """with_windows(), one row a window: segment_id, n_tok, side, slide_index, start_tok, end_tok."""
+    ws = with_windows(n_tokens, window, step, slides, keep)
+    return ws.select("segment_id", "n_tok", F.explode("ws").alias("w")).select("segment_id", "n_tok", "w.*")
+
+
+def as_arrays(toks: DataFrame, anns: DataFrame) -> DataFrame:
+    """One row a segment: offsets (array<struct<start, end>>, in order of tok) and its annotations (in order of start, end, label)."""
+    t = toks.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("tok", "start", "end"))).alias("t"))
+    a = anns.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "label"))).alias("annotations"))
+    none = F.array().cast("array<struct<span_start:bigint,span_end:bigint,label:string>>")
+    rows = t.join(a, "segment_id", "left").withColumn("annotations", F.coalesce("annotations", none))
+    return rows.select("segment_id", F.transform("t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("offsets"), "annotations")
 
 
 def bio_tags(toks: DataFrame, anns: DataFrame) -> DataFrame:
-    """Each token's tag. Of the annotations over a token, in order of start and then length, the first gives the entity; the last of
-    that entity gives the prefix: B on its own first token, else I."""
-    a = anns.select("segment_id", F.col("label"), F.col("span_start").alias("s"), F.col("span_end").alias("e"))
-    over = toks.join(a, "segment_id", "left").where(F.col("s").isNull() | ((F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))))
-    over = over.withColumn("ord", F.struct("s", -(F.col("e") - F.col("s")), "label"))
-    first = F.col("tok") == F.min("tok").over(Window.partitionBy("segment_id", "label", "s", "e"))
-    over = over.withColumn("first", first)
-    token = Window.partitionBy("segment_id", "tok")
-    over = over.withColumn("entity", F.min_by("label", "ord").over(token)).where("label = entity")
-    tag = over.groupBy("segment_id", "tok").agg(F.max_by(F.concat(F.when(F.col("first"), "B-").otherwise("I-"), F.upper("label")), "ord").alias("tag"))
-    return toks.select("segment_id", "tok", "start", "end").join(tag, ["segment_id", "tok"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
+    """Each token's tag (segment_id, tok, start, end, tag), found in place on arrays of a segment's tokens and annotations. Of the annotations
+    over a token, in order of start and then length, the first gives the entity; the last of that entity gives the prefix: B on its own first
+    token, else I."""
+    rows = as_arrays(toks, anns)
+    rows = rows.withColumn("x", F.arrays_zip("offsets", labels.tags(F.col("offsets"), F.col("annotations")).alias("tag")))
+    return rows.select("segment_id", F.posexplode("x").alias("tok", "x")).select("segment_id", "tok", "x.offsets.start", "x.offsets.end", "x.tag")
 
 
 def bio_spans(tags: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import spans as S
-from spanloom.operators import crops, evaluate, text
+from spanloom.operators import evaluate, labels, text
 from spanloom.operators.ranks import at_rank, positions, value_ranks
 from spanloom.plans.registry import _PRF, _TAGS, _WINDOWS, query
 
@@ -27,11 +27,6 @@ def ask(body: str, name: str | None = None, **more: str):
 # --- scans and lookups ---
 
 
-@ask("SELECT doc_id, count(*) AS segment_count FROM segs GROUP BY 1 HAVING count(*) > 5")
-def index_scan(v):
-    return v.segs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count")).where("segment_count > 5")
-
-
 @ask("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 1 OFFSET 5")
 def row_at(v):
     return v.docs.select("doc_id", "n_chars").orderBy("doc_id").offset(5).limit(1)
@@ -56,19 +51,6 @@ def union_shards(v):
     return even.unionByName(odd).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-_LINES = {"data": "SELECT doc_id, label, span_start, row_number() OVER (PARTITION BY doc_id ORDER BY segment_index, label) - 1 AS line FROM anns", "meta": "SELECT doc_id, segment_id, row_number() OVER (PARTITION BY doc_id ORDER BY segment_index, label) - 1 AS line FROM anns WHERE doc_id % 3 <> 0"}
-
-
-@ask("SELECT d.doc_id, d.line, coalesce(segment_id, '') || ':' || label || ':' || d.line AS row_id, span_start FROM data d LEFT JOIN meta m ON m.doc_id = d.doc_id AND m.line = d.line", **_LINES)
-def benchmark_row_zip(v):
-    """Data and meta lines of each file matched by position; meta may be missing."""
-    line = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment_index", "label")) - 1
-    data = v.anns.select("doc_id", "label", "span_start", line.alias("line"))
-    meta = v.anns.where("doc_id % 3 <> 0").select("doc_id", "segment_id", line.alias("line"))
-    row_id = F.concat_ws(":", F.coalesce("segment_id", F.lit("")), "label", F.col("line").cast("string"))
-    return data.join(meta, ["doc_id", "line"], "left").select("doc_id", "line", row_id.alias("row_id"), "span_start")
-
-
 @ask("SELECT s.segment_id, 'TEXT' AS segment_label, length(text) AS char_length, coalesce(n_tok, 0) AS token_length, CASE WHEN coalesce(n_tok, 0) <= 16 THEN 'short' WHEN n_tok <= 64 THEN 'medium' ELSE 'long' END AS tier, coalesce(t, false) AS has_title, coalesce(a, false) AS has_author FROM segs s LEFT JOIN n_toks USING (segment_id) LEFT JOIN (SELECT segment_id, bool_or(label = 'title') AS t, bool_or(label = 'author') AS a FROM anns GROUP BY 1) x USING (segment_id)")
 def segment_records(v):
     has = v.anns.groupBy("segment_id").agg(F.bool_or(F.col("label") == "title").alias("t"), F.bool_or(F.col("label") == "author").alias("a"))
@@ -87,12 +69,6 @@ def extract_stats(v):
 # --- text and windows ---
 
 
-@ask("SELECT segment_id, unnest(range(0, len(p))) AS i, unnest(p) AS syllable FROM (SELECT segment_id, regexp_extract_all(text, '[^ ,.]+[ ,.]*') AS p FROM segs)")
-def syllables(v):
-    """Syllables with the delimiters that follow them; leading delimiters are dropped."""
-    return v.segs.select("segment_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^ ,.]+[ ,.]*"), F.lit(0))).alias("i", "syllable"))
-
-
 _BOUNDS = {"bounds_tok": "SELECT a.segment_id, a.label, min(tok) AS lo, max(tok) AS hi FROM anns a JOIN toks t ON t.segment_id = a.segment_id AND start < span_end AND \"end\" > span_start GROUP BY ALL", "spans_n": "SELECT * FROM bounds_tok JOIN n_toks USING (segment_id)"}
 
 
@@ -107,70 +83,6 @@ def span_token_bounds(v):
     return bounds(v).select("segment_id", "label", "lo", "hi")
 
 
-_DOCTOK = {
-    "doc_toks": "SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.segment_index, tok) - 1 AS k, s.span_start + t.start AS s, s.span_start + t.\"end\" AS e FROM toks t JOIN segs s USING (segment_id)",
-    "text_win": "SELECT doc_id, w, min(k) AS start_tok, max(k) + 1 AS end_tok, min(s) AS char_start, max(e) AS char_end FROM doc_toks, (SELECT unnest([0, 1]) AS back) b, LATERAL (SELECT k // 32 - back AS w) x WHERE w >= 0 AND (w = 0 OR w * 32 < k + 1) GROUP BY ALL",
-}
-
-
-def doc_windows(v) -> DataFrame:
-    """Windows of 64 tokens, every 32 tokens, over whole documents: each token lies in two of them."""
-    t = v.toks.join(v.segs.select("segment_id", F.col("span_start").alias("base")), "segment_id")
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment_index", "tok")) - 1
-    t = t.select("doc_id", k.alias("k"), (F.col("base") + F.col("start")).alias("s"), (F.col("base") + F.col("end")).alias("e"))
-    t = t.withColumn("w", F.explode(F.filter(F.array(F.floor(F.col("k") / 32), F.floor(F.col("k") / 32) - 1), lambda w: w >= 0)))
-    return t.groupBy("doc_id", "w").agg(F.min("k").alias("start_tok"), (F.max("k") + 1).alias("end_tok"), F.min("s").alias("char_start"), F.max("e").alias("char_end"))
-
-
-@ask("SELECT doc_id, w, start_tok, end_tok, char_start, char_end FROM text_win", **_DOCTOK)
-def text_windows(v):
-    return doc_windows(v)
-
-
-@ask("SELECT a.doc_id, w, label, a.span_start + s.span_start - char_start AS span_start, a.span_end + s.span_start - char_start AS span_end FROM anns a JOIN segs s USING (segment_id) JOIN text_win t ON t.doc_id = a.doc_id AND a.span_start + s.span_start >= char_start AND a.span_end + s.span_start <= char_end", **_DOCTOK)
-def window_annotations_doc(v):
-    """Annotations that lie in a document window, rebased; a document's windows are few, so they go along as an array."""
-    w = doc_windows(v).groupBy("doc_id").agg(F.collect_list(F.struct("w", "char_start", "char_end")).alias("ws"))
-    a = v.anns.join(v.segs.select("segment_id", F.col("span_start").alias("base")), "segment_id").select("doc_id", "label", (F.col("span_start") + F.col("base")).alias("s"), (F.col("span_end") + F.col("base")).alias("e"))
-    hit = a.join(w, "doc_id").withColumn("x", F.explode(F.filter("ws", lambda x: (x["char_start"] <= F.col("s")) & (F.col("e") <= x["char_end"]))))
-    return hit.select("doc_id", "x.w", "label", (F.col("s") - F.col("x.char_start")).alias("span_start"), (F.col("e") - F.col("x.char_start")).alias("span_end"))
-
-
-@ask("SELECT size, label, count(*) AS total, count(*) FILTER (hi < (lo // (size // 2)) * (size // 2) + size) AS captured FROM spans_n, (VALUES (8), (16), (64)) t(size) GROUP BY ALL", **_BOUNDS)
-def coverage_by_size(v):
-    """Annotations within any window of each size, windows half a size apart: the last that begins at or before a span decides."""
-    d = bounds(v).withColumn("size", F.explode(F.array(*map(F.lit, (8, 16, 64)))))
-    return d.groupBy("size", "label").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("hi < (lo div (size div 2)) * (size div 2) + size")).alias("captured"))
-
-
-_CURVE = {"curve": "SELECT s.segment_id, label, i.i, i.i * 8 <= lo AND hi < i.i * 8 + 16 AS b, n_tok - i.i * 8 > hi AND greatest(n_tok - i.i * 8 - 16, 0) <= lo AS e FROM spans_n s, range(4) i(i)"}
-
-
-def in_slides(n: int, side: str):
-    """Whether a span lies in one of the first n windows from one end."""
-    i = F.sequence(F.lit(0), F.lit(n - 1))
-    if side == "begin":
-        return F.exists(i, lambda i: (i * 8 <= F.col("lo")) & (F.col("hi") < i * 8 + 16))
-    return F.exists(i, lambda i: (F.col("n_tok") - i * 8 > F.col("hi")) & (F.greatest(F.col("n_tok") - i * 8 - 16, F.lit(0)) <= F.col("lo")))
-
-
-@ask("SELECT n, label, count(*) AS total, count(*) FILTER (b) AS begin_hits, count(*) FILTER (e) AS end_hits, count(*) FILTER (b OR e) AS both_hits FROM (SELECT n, segment_id, label, bool_or(b AND i < n) AS b, bool_or(e AND i < n) AS e FROM curve, (VALUES (1), (2), (3), (4)) t(n) GROUP BY ALL) GROUP BY ALL", **_BOUNDS, **_CURVE)
-def capture_curve(v):
-    d = bounds(v)
-    flags = F.array(*[F.struct(F.lit(n).alias("n"), in_slides(n, "begin").alias("b"), in_slides(n, "end").alias("e")) for n in range(1, 5)])
-    d = d.select("label", F.explode(flags).alias("x")).select("label", "x.*")
-    return d.groupBy("n", "label").agg(F.count(F.lit(1)).alias("total"), F.count_if("b").alias("begin_hits"), F.count_if("e").alias("end_hits"), F.count_if(F.col("b") | F.col("e")).alias("both_hits"))
-
-
-@ask("SELECT nb, ne, hits FROM (SELECT nb, ne, count(*) FILTER (h) AS hits, count(*) AS total FROM (SELECT nb, ne, segment_id, label, bool_or((b AND i < nb) OR (e AND i < ne)) AS h FROM curve, range(1, 5) x(nb), range(1, 5) y(ne) GROUP BY ALL) GROUP BY ALL) WHERE hits >= 0.9 * total ORDER BY nb + ne, nb, ne LIMIT 1", **_BOUNDS, **_CURVE)
-def min_slides_for_target(v):
-    """The fewest begin and end windows that hold nine in ten annotations."""
-    grid = [(b, e) for b in range(1, 5) for e in range(1, 5)]
-    sums = bounds(v).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(in_slides(b, "begin") | in_slides(e, "end")).alias(f"h{b}_{e}") for b, e in grid])
-    cells = sums.select("total", F.explode(F.array(*[F.struct(F.lit(b + e).alias("sum"), F.lit(b).alias("nb"), F.lit(e).alias("ne"), F.col(f"h{b}_{e}").alias("hits")) for b, e in grid])).alias("x"))
-    return cells.where("x.hits >= 0.9 * total").agg(F.min("x").alias("x")).select("x.nb", "x.ne", "x.hits")
-
-
 @ask("SELECT count(*) AS segments, round(median(n_tok), 6) AS median, max(CASE WHEN r = least(n - 1, CAST(floor(n * 0.9) AS BIGINT)) THEN n_tok END) AS p90, count(*) FILTER (n_tok > 16) AS over FROM (SELECT n_tok, row_number() OVER (ORDER BY n_tok) - 1 AS r, count(*) OVER () AS n FROM n_toks)")
 def token_length_profile(v):
     d = value_ranks(v.n_toks.withColumn("g", F.lit(0)), "n_tok", "g")
@@ -182,24 +94,33 @@ def token_length_profile(v):
 # --- labels and examples ---
 
 _IDS = "CASE tag WHEN 'B-TITLE' THEN 1 WHEN 'I-TITLE' THEN 2 WHEN 'B-AUTHOR' THEN 3 WHEN 'I-AUTHOR' THEN 4 ELSE 0 END"
-_EXAMPLES = {
-    "tag_all": "SELECT t.segment_id, t.tok, coalesce(tag, 'O') AS tag, length(t.piece) + 2 AS id FROM toks t LEFT JOIN tag_rows r USING (segment_id, tok)",
-    "content": f"SELECT w.segment_id, w.side, w.slide_index, w.n_tok, count(*) AS n, CAST(sum(id * (tok - start_tok + 2)) AS BIGINT) AS id_sum, CAST(sum({_IDS}) AS BIGINT) AS label_sum, CAST(sum(CASE WHEN tag = 'O' THEN 0 ELSE 1 END) AS BIGINT) AS entity FROM windows w JOIN tag_all t ON t.segment_id = w.segment_id AND tok >= start_tok AND tok < least(end_tok, start_tok + 14) GROUP BY ALL",
+_WTAGS = {
+    "w_edge": "SELECT w.segment_id, w.side, w.slide_index, w.n_tok, w.start_tok, w.end_tok, min(start) AS s, max(\"end\") AS e FROM windows w JOIN toks t ON t.segment_id = w.segment_id AND tok >= start_tok AND tok < end_tok GROUP BY ALL",
+    "w_ann": "SELECT w.*, a.label, a.span_start, a.span_end FROM w_edge w JOIN anns a ON a.segment_id = w.segment_id AND a.span_start >= w.s AND a.span_end <= w.e",
+    "w_over": "SELECT w.segment_id, side, slide_index, tok, start, \"end\", label, span_start, span_end, row_number() OVER (PARTITION BY w.segment_id, side, slide_index, tok ORDER BY span_start, span_start - span_end, label) AS o, tok = min(tok) OVER (PARTITION BY w.segment_id, side, slide_index, label, span_start, span_end) AS first FROM w_ann w JOIN toks t ON t.segment_id = w.segment_id AND tok >= start_tok AND tok < end_tok AND start < span_end AND \"end\" > span_start",
+    "w_tag": "SELECT segment_id, side, slide_index, tok, arg_max((CASE WHEN first THEN 'B-' ELSE 'I-' END) || upper(label), o) AS tag FROM (SELECT *, first_value(label) OVER (PARTITION BY segment_id, side, slide_index, tok ORDER BY o) AS lead FROM w_over) WHERE label = lead GROUP BY ALL",
+    "w_all": "SELECT w.segment_id, w.side, w.slide_index, w.n_tok, w.start_tok, t.tok, t.start, t.\"end\", length(t.piece) + 2 AS id, coalesce(x.tag, 'O') AS tag FROM w_edge w JOIN toks t ON t.segment_id = w.segment_id AND t.tok >= w.start_tok AND t.tok < w.end_tok LEFT JOIN w_tag x ON x.segment_id = w.segment_id AND x.side = w.side AND x.slide_index = w.slide_index AND x.tok = t.tok",
+}
+_EXAMPLES = _WTAGS | {
+    "content": f"SELECT segment_id, side, slide_index, n_tok, count(*) AS n, CAST(sum(id * (tok - start_tok + 2)) AS BIGINT) AS id_sum, CAST(sum({_IDS}) AS BIGINT) AS label_sum, CAST(sum(CASE WHEN tag = 'O' THEN 0 ELSE 1 END) AS BIGINT) AS entity FROM w_all WHERE tok < start_tok + 14 GROUP BY ALL",
     "examples": "SELECT segment_id, side, CAST(slide_index AS BIGINT) AS slide_index, n_tok, n + 2 AS mask_sum, CAST(16 AS BIGINT) AS length, 16 - n AS ignored, id_sum + 0 * 1 + 2 * (n + 2) + (16 - n - 2) AS id_sum, label_sum, entity FROM content",
 }
 
 
+def window_rows(v) -> DataFrame:
+    """One row a window of 16 tokens, every 8, up to 4 from either end, with its own annotations, offsets and tags."""
+    rows = text.as_arrays(v.toks, v.anns).withColumn("n_tok", F.size("offsets"))
+    return labels.window_labels(text.with_windows(rows, 16, 8, 4))
+
+
 def examples(v) -> DataFrame:
     """Fixed-length examples of windows: (segment_id, side, slide_index, n_tok, input_ids, attention_mask, labels), 16 places each.
 
     Content is clipped to 14 tokens; a begin and an end sign (ids 0 and 2) go around it; padding has id 1 and mask 0; labels are -100 on
     signs and padding. A token's stand-in id is its length + 2."""
-    tags = text.bio_tags(v.toks, v.anns).select("segment_id", "tok", "tag")
     label = F.create_map(*[x for i, t in enumerate(("O", "B-TITLE", "I-TITLE", "B-AUTHOR", "I-AUTHOR")) for x in (F.lit(t), F.lit(i))])
-    toks = v.toks.select("segment_id", "tok", (F.length("piece") + 2).alias("id")).join(tags, ["segment_id", "tok"])
-    row = toks.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("tok", "id", F.coalesce(label[F.col("tag")], F.lit(0)).alias("label")))).alias("t"))
-    w = text.slide_windows(v.n_toks, 16, 8, 4).join(row, "segment_id")
-    part = F.slice("t", F.col("start_tok") + 1, F.least(F.col("end_tok") - F.col("start_tok"), F.lit(14)))
+    w = window_rows(v)
+    part = F.slice(F.transform("window_offsets", lambda t, i: F.struct((t["end"] - t["start"] + 2).cast("int").alias("id"), F.coalesce(label[F.get("tags", i)], F.lit(0)).alias("label"))), 1, 14)
     w = w.withColumn("p", part).withColumn("pad", F.lit(14) - F.size("p"))
     fill = lambda x: F.array_repeat(F.lit(x), F.col("pad"))
     ids = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["id"]), F.array(F.lit(2)), fill(1))
@@ -208,7 +129,7 @@ def examples(v) -> DataFrame:
     return w.select("segment_id", "side", "slide_index", "n_tok", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 
-@ask("SELECT segment_id, side, slide_index, mask_sum, length, ignored, id_sum, label_sum FROM examples", **_WINDOWS, **_TAGS, **_EXAMPLES)
+@ask("SELECT segment_id, side, slide_index, mask_sum, length, ignored, id_sum, label_sum FROM examples", **_WINDOWS, **_EXAMPLES)
 def training_examples(v):
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     placed = total(F.transform("input_ids", lambda x, i: x * F.when(F.get("labels", i) >= 0, i + 1).when(F.get("attention_mask", i) == 1, F.size(F.filter("labels", lambda y: y >= 0)) + 2).otherwise(1)))
@@ -216,7 +137,7 @@ def training_examples(v):
     return examples(v).select("segment_id", "side", "slide_index", total(F.col("attention_mask")).alias("mask_sum"), F.size("input_ids").alias("length"), (F.lit(16) - F.size(kept)).alias("ignored"), placed.alias("id_sum"), total(kept).alias("label_sum"))
 
 
-@ask("SELECT segment_id, count(*) AS windows, bool_and(length = 16) AS lengths_ok, bool_and(ignored >= 2) AS signs_ok, CASE WHEN n_tok <= 16 THEN count(*) = 1 ELSE count(*) <= 8 END AS count_ok FROM examples GROUP BY segment_id, n_tok", **_WINDOWS, **_TAGS, **_EXAMPLES)
+@ask("SELECT segment_id, count(*) AS windows, bool_and(length = 16) AS lengths_ok, bool_and(ignored >= 2) AS signs_ok, CASE WHEN n_tok <= 16 THEN count(*) = 1 ELSE count(*) <= 8 END AS count_ok FROM examples GROUP BY segment_id, n_tok", **_WINDOWS, **_EXAMPLES)
 def verify_windows(v):
     e = examples(v)
     ends = (F.get("labels", F.lit(0)) == -100) & (F.get("labels", F.expr("aggregate(attention_mask, 0, (s, x) -> s + x) - 1")) == -100)
@@ -224,31 +145,14 @@ def verify_windows(v):
     return per.select("segment_id", "windows", "lengths_ok", "signs_ok", F.when(F.col("n_tok") <= 16, F.col("windows") == 1).otherwise(F.col("windows") <= 8).alias("count_ok"))
 
 
-@ask("SELECT count(*) AS windows, count(*) FILTER (entity > 0) AS with_entity, count(*) FILTER (entity = 0) AS without, count(DISTINCT segment_id) AS segments FROM examples", **_WINDOWS, **_TAGS, **_EXAMPLES)
+@ask("SELECT count(*) AS windows, count(*) FILTER (entity > 0) AS with_entity, count(*) FILTER (entity = 0) AS without, count(DISTINCT segment_id) AS segments FROM examples", **_WINDOWS, **_EXAMPLES)
 def balance_report(v):
     has = F.exists("labels", lambda x: x > 0)
     return examples(v).select("segment_id", has.alias("h")).agg(F.count(F.lit(1)).alias("windows"), F.count_if("h").alias("with_entity"), F.count_if(~F.col("h")).alias("without"), F.countDistinct("segment_id").alias("segments"))
 
 
-@ask("SELECT segment_id, count(*) AS spans FROM (SELECT segment_id, label, span_start, span_end FROM anns EXCEPT SELECT a.segment_id, a.label, min(start), max(\"end\") FROM anns a JOIN toks t ON t.segment_id = a.segment_id AND start < span_end AND \"end\" > span_start WHERE NOT EXISTS (SELECT 1 FROM anns o WHERE o.segment_id = a.segment_id AND o.label <> a.label AND o.span_start < a.span_end AND o.span_end > a.span_start) GROUP BY a.segment_id, a.label) GROUP BY 1")
-def roundtrip_failures(v):
-    """Annotations that don't come back from their tags (here: those that overlap another)."""
-    back = text.bio_spans(text.bio_tags(v.toks, v.anns)).select("segment_id", "label", "span_start", "span_end")
-    clash = v.anns.alias("a").join(v.anns.select("segment_id", F.col("label").alias("l2"), F.col("span_start").alias("s2"), F.col("span_end").alias("e2")), "segment_id").where("l2 <> label and s2 < span_end and e2 > span_start").select("segment_id", "label").distinct()
-    sound = back.join(clash, ["segment_id", "label"], "left_anti")
-    return v.anns.select("segment_id", "label", "span_start", "span_end").subtract(sound).groupBy("segment_id").agg(F.count(F.lit(1)).alias("spans"))
-
-
 # --- merging predictions ---
 
-_VOTES = {
-    "votes": "SELECT w.segment_id, t.tok, t.start, t.\"end\", CASE WHEN (slide_index + t.tok) % 5 = 0 THEN 'O' ELSE coalesce(tag, 'O') END AS tag, (t.tok * 7 + slide_index * 3 + CASE side WHEN 'end' THEN 1 ELSE 0 END) % 10 AS conf, CASE side WHEN 'end' THEN slide_index + 4 ELSE slide_index END AS place FROM windows w JOIN toks t ON t.segment_id = w.segment_id AND t.tok >= start_tok AND t.tok < end_tok LEFT JOIN tag_rows r ON r.segment_id = t.segment_id AND r.tok = t.tok",
-    "voted": "SELECT segment_id, start, max(\"end\") AS \"end\", min(tok) AS tok, arg_max(tag, conf * 100 - place) AS tag FROM votes GROUP BY segment_id, start",
-    "chained": "SELECT *, sum(CASE WHEN left(tag, 1) = 'I' AND substring(p, 3) = substring(tag, 3) THEN 0 ELSE 1 END) OVER (PARTITION BY segment_id ORDER BY start) AS island FROM (SELECT *, lag(tag) OVER (PARTITION BY segment_id ORDER BY start) AS p FROM voted)",
-    "merged": "SELECT segment_id, lower(substring(min(tag), 3)) AS label, min(start) AS span_start, max(\"end\") AS span_end FROM chained WHERE tag <> 'O' GROUP BY segment_id, island HAVING arg_min(left(tag, 1), start) = 'B'",
-}
-
-
 def merge_votes(votes: DataFrame) -> DataFrame:
     """votes: segment_id, start, end, tag, conf, place (the window's order) -> spans. At each start the most confident tag
     wins, the earliest window on ties; then tags chain in the order of starts, whatever lies between; a span ends with its last token."""
@@ -256,16 +160,6 @@ def merge_votes(votes: DataFrame) -> DataFrame:
     return text.bio_spans(best.withColumnRenamed("start", "tok").withColumn("start", F.col("tok")))
 
 
-@ask("SELECT * FROM merged", **_WINDOWS, **_TAGS, **_VOTES)
-def merge_predictions(v):
-    """Votes of a stub model on each window's tokens, merged to spans of the segment."""
-    tags = text.bio_tags(v.toks, v.anns)
-    w = text.slide_windows(v.n_toks, 16, 8, 4).join(tags, "segment_id").where("tok >= start_tok and tok < end_tok")
-    end = F.when(F.col("side") == "end", 1).otherwise(0)
-    votes = w.select("segment_id", "start", "end", F.when((F.col("slide_index") + F.col("tok")) % 5 == 0, "O").otherwise(F.col("tag")).alias("tag"), ((F.col("tok") * 7 + F.col("slide_index") * 3 + end) % 10).alias("conf"), (F.col("slide_index") + 4 * end).alias("place"))
-    return merge_votes(votes).select("segment_id", "label", "span_start", "span_end")
-
-
 _DOUBLE = {"said": "SELECT segment_id, label, span_start, span_end, text FROM preds UNION ALL SELECT segment_id, 'other', span_start, span_end, text FROM preds WHERE doc_id % 2 = 0"}
 
 
@@ -346,30 +240,8 @@ def metrics_from_map(v):
     return stored.select(F.explode(F.coalesce("title_eval", fresh)).alias("family", "tp")).groupBy("family").agg(F.sum("tp").alias("tp"))
 
 
-_FIRST = {"g1": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY span_start, span_end, label) AS r FROM anns) WHERE r = 1", "p1": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY span_start, span_end, label) AS r FROM preds) WHERE r = 1"}
 
 
-@ask("SELECT coalesce(g.segment_id, p.segment_id) AS segment_id, coalesce(trim(g.text) = trim(p.text), false) AS text_match, coalesce(g.span_start = p.span_start, false) AS start_match, coalesce(g.span_end = p.span_end, false) AS end_match, p.span_start - g.span_start AS start_delta, p.span_end - g.span_end AS end_delta FROM g1 g FULL JOIN p1 p USING (segment_id)", **_FIRST)
-def compare_first_span(v):
-    """The first gold against the first predicted span of each row; one missing: no match and no deltas."""
-    g, p = F.get("gold", F.lit(0)), F.get("pred", F.lit(0))
-    same = lambda c: F.coalesce(g[c] == p[c], F.lit(False))
-    return v.rows.select("segment_id", F.coalesce(F.trim(g["text"]) == F.trim(p["text"]), F.lit(False)).alias("text_match"), same("span_start").alias("start_match"), same("span_end").alias("end_match"), (p["span_start"] - g["span_start"]).alias("start_delta"), (p["span_end"] - g["span_end"]).alias("end_delta"))
-
-
-_TEXTS = {"gt": "SELECT segment_id, trim(text) AS t, count(*) AS n FROM anns GROUP BY 1, 2", "pt": "SELECT segment_id, trim(text) AS t, count(*) AS n FROM preds GROUP BY 1, 2", "both_t": "SELECT segment_id, CAST(sum(least(g.n, p.n)) AS BIGINT) AS tp FROM gt g JOIN pt p USING (segment_id, t) GROUP BY 1", "inside": "SELECT DISTINCT g.segment_id FROM gt g JOIN pt p USING (segment_id) WHERE g.t <> '' AND p.t <> '' AND (contains(g.t, p.t) OR contains(p.t, g.t))"}
-
-
-@ask("SELECT CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(p - coalesce(tp, 0)) AS BIGINT) AS fp, CAST(sum(g - coalesce(tp, 0)) AS BIGINT) AS fn, count(*) FILTER (tp > 0) AS rows_exact, count(*) FILTER (segment_id IN (SELECT segment_id FROM inside)) AS rows_contained FROM gp LEFT JOIN both_t USING (segment_id)", **_TEXTS)
-def emitted_text_match(v):
-    """Texts alone, as multisets: how many of the gold texts come up, and rows with any exact or contained hit."""
-    strip = lambda c: F.transform(c, lambda s: F.trim(s["text"]))
-    r = v.rows.select(strip("gold").alias("g"), strip("pred").alias("p"))
-    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    tp = F.aggregate(F.transform(F.array_intersect("g", "p"), lambda t: F.least(times(F.col("g"), t), times(F.col("p"), t))), F.lit(0), lambda s, x: s + x)
-    held = F.exists("g", lambda a: F.exists("p", lambda b: (a != "") & (b != "") & (a.contains(b) | b.contains(a))))
-    r = r.select(tp.alias("tp"), F.size("g").alias("n_gold"), F.size("p").alias("n_pred"), held.alias("h"))
-    return r.agg(F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_gold") - F.col("tp")).alias("fn"), F.count_if(F.col("tp") > 0).alias("rows_exact"), F.count_if("h").alias("rows_contained"))
 
 
 @ask("SELECT label, count(*) AS n, round(median(length(s.text)), 6) AS input_length, round(median(a.span_start), 6) AS start, round(median(round(a.span_start / length(s.text), 9)), 6) AS relative FROM anns a JOIN segs s USING (segment_id) GROUP BY 1")
@@ -379,85 +251,7 @@ def span_position_profile(v):
     return d.withColumn("r", F.round(F.col("span_start") / F.col("n"), 9)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), mid("n", "input_length"), mid("span_start", "start"), mid("r", "relative"))
 
 
-# --- crops ---
-
-_CROPS = {
-    "shifted": "SELECT a.segment_id, label, CASE WHEN a.doc_id % 5 = 0 THEN -1 ELSE a.span_start END AS s, a.span_end - 1 AS e, a.text AS said, s.text FROM anns a JOIN segs s USING (segment_id)",
-    "normal": "SELECT segment_id, label, CASE WHEN s >= 0 AND s <= e AND e < length(text) THEN s ELSE strpos(text, trim(said)) - 1 END AS start, CASE WHEN s >= 0 AND s <= e AND e < length(text) THEN e ELSE strpos(text, trim(said)) + length(trim(said)) - 2 END AS \"end\" FROM shifted WHERE (s >= 0 AND s <= e AND e < length(text)) OR (trim(said) <> '' AND strpos(text, trim(said)) > 0)",
-    "ranges": "SELECT n.segment_id, label, n.start, n.\"end\", min(tok) AS lo, max(tok) AS hi FROM normal n JOIN toks t ON t.segment_id = n.segment_id AND t.start <= n.\"end\" AND t.\"end\" > n.start GROUP BY ALL",
-    "starts_of": "SELECT r.*, n_tok, CASE WHEN hi - lo + 1 > 32 THEN greatest(0, least(n_tok - 32, (lo + hi) // 2 - 16)) ELSE greatest(0, hi - 31) END AS first, CASE WHEN hi - lo + 1 > 32 THEN greatest(0, least(n_tok - 32, (lo + hi) // 2 - 16)) WHEN greatest(0, hi - 31) > least(lo, greatest(n_tok - 32, 0)) THEN greatest(0, hi - 31) ELSE least(lo, greatest(n_tok - 32, 0)) END AS last FROM ranges r JOIN n_toks USING (segment_id)",
-    "cropped": "SELECT segment_id, label, start, \"end\", CASE WHEN n_tok <= 32 THEN 'full' ELSE 'positive' END AS kind, k, CASE WHEN n_tok <= 32 THEN 0 ELSE first + (last - first) * k // 2 END AS tok_start, CASE WHEN n_tok <= 32 THEN n_tok ELSE least(n_tok, first + (last - first) * k // 2 + 32) END AS tok_end FROM starts_of, range(3) t(k) WHERE n_tok > 32 OR k = 0",
-    "placed_crops": "SELECT c.segment_id, label, kind, k, tok_start, tok_end, min(t.start) AS cs, max(t.\"end\") AS ce, c.start, c.\"end\" FROM cropped c JOIN toks t ON t.segment_id = c.segment_id AND tok >= tok_start AND tok < tok_end GROUP BY ALL",
-    "remapped": "SELECT segment_id, label, kind, k, cs, ce, start - cs AS s, \"end\" - cs AS e FROM placed_crops WHERE start >= cs AND \"end\" <= ce",
-}
-
-
-def normal_spans(v) -> DataFrame:
-    a = v.anns.join(v.segs.select("segment_id", F.col("text").alias("whole")), "segment_id")
-    start = F.when(F.col("doc_id") % 5 == 0, F.lit(-1)).otherwise(F.col("span_start"))
-    return a.select("segment_id", "label", crops.normalised(F.col("whole"), start, F.col("span_end") - 1, F.col("text")).alias("x")).where("x is not null").select("segment_id", "label", "x.start", "x.end")
-
-
-def crop_rows(v) -> DataFrame:
-    """(segment_id, label, start, end, kind, k, tok_start, tok_end, cs, ce): whole segments of up to 32 tokens, else three crops that hold the span."""
-    r = crops.token_range(normal_spans(v), v.toks).join(v.n_toks, "segment_id")
-    r = r.withColumn("x", crops.start_range(F.col("lo"), F.col("hi"), F.col("n_tok"), 32))
-    full = F.col("n_tok") <= 32
-    r = r.withColumn("k", F.explode(F.when(full, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(2)))))
-    at = F.col("x.first") + F.expr("((x.last - x.first) * k) div 2")
-    r = r.select("segment_id", "label", "start", "end", F.when(full, "full").otherwise("positive").alias("kind"), "k", F.when(full, 0).otherwise(at).alias("tok_start"), F.when(full, F.col("n_tok")).otherwise(F.least(F.col("n_tok"), at + 32)).alias("tok_end"))
-    edge = v.toks.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("tok", F.col("start").alias("s"), F.col("end").alias("e")))).alias("t"))
-    side = lambda i, c: F.get("t", i.cast("int"))[c]
-    return r.join(edge, "segment_id").select(*r.columns, side(F.col("tok_start"), "s").alias("cs"), side(F.col("tok_end") - 1, "e").alias("ce"))
-
-
-def crop_span_rows(v) -> DataFrame:
-    return crop_rows(v).where("start >= cs and end <= ce").select("segment_id", "label", "kind", "k", "cs", "ce", (F.col("start") - F.col("cs")).alias("s"), (F.col("end") - F.col("cs")).alias("e"))
-
-
-@ask("SELECT segment_id, label, start, \"end\" FROM normal", **_CROPS)
-def normalize_annotations(v):
-    return normal_spans(v)
-
-
-@ask("SELECT segment_id, label, lo, hi FROM ranges", **_CROPS)
-def span_token_range_incl(v):
-    return crops.token_range(normal_spans(v), v.toks).select("segment_id", "label", "lo", "hi")
-
-
-@ask("SELECT segment_id, label, first, last FROM starts_of", **_CROPS)
-def crop_starts(v):
-    r = crops.token_range(normal_spans(v), v.toks).join(v.n_toks, "segment_id")
-    return r.select("segment_id", "label", crops.start_range(F.col("lo"), F.col("hi"), F.col("n_tok"), 32).alias("x")).select("segment_id", "label", "x.first", "x.last")
-
-
-@ask("SELECT segment_id, label, kind, k, tok_start, tok_end, cs, ce FROM placed_crops", "crops", **_CROPS)
-def crops_query(v):
-    return crop_rows(v).drop("start", "end")
-
-
-@ask("SELECT segment_id, label, kind, k, s, e FROM remapped", **_CROPS)
-def crop_spans(v):
-    return crop_span_rows(v).drop("cs", "ce")
-
-
-@ask("SELECT r.segment_id, label, k, substring(t.text, cs + 1, ce - cs) AS input, '{\"spans\":[{\"start\":' || s || ',\"end\":' || e || '}]}' AS output FROM remapped r JOIN segs t ON t.segment_id = r.segment_id", **_CROPS)
-def sft_rows(v):
-    """Input and output of each crop; a crop without its span is left out."""
-    r = crop_span_rows(v).join(v.segs.select("segment_id", "text"), "segment_id")
-    said = F.to_json(F.struct(F.array(F.struct(F.col("s").alias("start"), F.col("e").alias("end"))).alias("spans")))
-    return r.select("segment_id", "label", "k", text.span_text(F.col("text"), F.col("cs"), F.col("ce")).alias("input"), said.alias("output"))
-
-
-@ask("SELECT label, least(9, CAST(floor(10.0 * ((s + e) / 2.0) / (ce - cs)) AS BIGINT)) AS bin, count(*) AS n FROM remapped GROUP BY ALL", **_CROPS)
-def ratio_histogram(v):
-    ratio = F.floor(F.lit(10.0) * ((F.col("s") + F.col("e")) / 2.0) / (F.col("ce") - F.col("cs")))
-    return crop_span_rows(v).groupBy("label", F.least(F.lit(9).cast("long"), ratio).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@ask("SELECT kind, label, count(*) AS n, count(DISTINCT segment_id) AS segments FROM remapped GROUP BY ALL", **_CROPS)
-def crop_stats(v):
-    return crop_span_rows(v).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment_id").alias("segments"))
+# --- generative windows ---
 
 
 @ask("SELECT segment_id, w, w * 24 AS start_tok, least(w * 24 + 32, n_tok) AS end_tok FROM (SELECT segment_id, n_tok, unnest(range(0, CASE WHEN n_tok <= 32 THEN 1 ELSE (n_tok - 32 + 23) // 24 + 1 END)) AS w FROM n_toks)")
@@ -514,26 +308,3 @@ def timing_slices(v):
     part = F.filter(F.array(F.when(F.col("pos") < 50, F.lit("first")), F.when(F.col("pos") >= F.col("all_docs") - 50, F.lit("last"))), lambda x: x.isNotNull())
     r = value_ranks(d.select(F.explode(part).alias("part"), "ms"), "ms", "part")
     return r.groupBy("part").agg(F.sum("c").alias("n"), at_rank("ms", F.floor(F.lit(0.95) * F.col("n")) - 1).alias("p95"))
-
-
-_RUNS3 = {"runs3": "SELECT m.model, m.o, CAST(sum(CASE WHEN abs(gs - ps) <= m.tol THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS pairs FROM pairs2, (VALUES ('wide', 1, 50), ('near', 0, 3), ('mid', NULL, 6)) m(model, o, tol) GROUP BY ALL"}
-
-
-def model_runs(v) -> DataFrame:
-    g = v.anns.select("segment_id", "label", F.col("span_start").alias("gs")).join(v.preds.select("segment_id", "label", F.col("span_start").alias("ps")), ["segment_id", "label"])
-    kinds = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(o).cast("int").alias("o"), F.lit(t).alias("tol")) for m, o, t in (("wide", 1, 50), ("near", 0, 3), ("mid", None, 6))])
-    d = g.select("gs", "ps", F.explode(kinds).alias("m")).select("gs", "ps", "m.*")
-    return d.groupBy("model", "o").agg(F.sum(F.when(F.abs(F.col("gs") - F.col("ps")) <= F.col("tol"), 1).otherwise(0)).alias("hits"), F.count(F.lit(1)).alias("pairs"))
-
-
-@ask("SELECT row_number() OVER (ORDER BY coalesce(o, 1000), model) AS place, model, printf('%.2f%%', round(100.0 * hits / pairs, 6)) AS rate FROM runs3", **_RUNS3)
-def leaderboard(v):
-    """Models in a fixed order, then the others by name, with their hit rates."""
-    w = Window.orderBy(F.coalesce("o", F.lit(1000)), "model")  # one row a model
-    return model_runs(v).select(F.row_number().over(w).alias("place"), "model", F.format_string("%.2f%%", F.round(F.lit(100.0) * F.col("hits") / F.col("pairs"), 6)).alias("rate"))
-
-
-@ask("SELECT a.hits AS near_hits, b.hits AS wide_hits, b.hits - a.hits AS gain FROM runs3 a, runs3 b WHERE a.model = 'near' AND b.model = 'wide'", **_RUNS3)
-def side_by_side(v):
-    one = lambda m: F.max(F.when(F.col("model") == m, F.col("hits")))
-    return model_runs(v).agg(one("near").alias("near_hits"), one("wide").alias("wide_hits")).withColumn("gain", F.col("wide_hits") - F.col("near_hits"))

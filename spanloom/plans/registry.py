@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as S
 from spanloom.operators import evaluate as E
 from spanloom.operators import sampling, text
+from spanloom.operators.ranks import positions
 from spanloom.plans.views import Views, sql
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -51,11 +52,6 @@ def matching_doc_count(v):
     return v.docmeta.where("status = 'approved'").join(v.anns.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, segment_index, segment_id, span_start, span_end, length(text) AS char_length FROM segs")
-def segments_unnest(v):
-    return v.segs.select("doc_id", "segment_index", "segment_id", "span_start", "span_end", F.length("text").cast("long").alias("char_length"))
-
-
 @query("SELECT d.doc_id, length(text) AS char_length, coalesce(t, false) AS has_title, coalesce(a, false) AS has_author FROM documents d LEFT JOIN (SELECT doc_id, bool_or(label = 'title') AS t, bool_or(label = 'author') AS a FROM anns GROUP BY 1) x USING (doc_id)")
 def doc_meta(v):
     has = v.anns.groupBy("doc_id").agg(F.bool_or(F.col("label") == "title").alias("t"), F.bool_or(F.col("label") == "author").alias("a"))
@@ -98,11 +94,7 @@ def resume_anti_join(v):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 6 AS worker FROM documents")
 def modulo_partition(v):
-    # positions by ranges: the rows before a block of ids, then the place within the block
-    d = v.docs.select("doc_id", F.floor(F.col("doc_id") / 1000).alias("block"))
-    before = d.groupBy("block").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1
-    return d.join(before, "block").select("doc_id", (place % 6).alias("worker"))
+    return positions(v.docs.select("doc_id"), "doc_id").select("doc_id", (F.col("pos") % 6).alias("worker"))
 
 
 @query("SELECT doc_id, coalesce(split, 'train') AS split FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'val' ELSE 'test' END AS split FROM labels) USING (doc_id)")
@@ -328,22 +320,6 @@ def row_metrics(v):
     return E.with_prf(sums)
 
 
-@query(f"SELECT tp, fp, fn, {_PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT x.* FROM per_row x JOIN segs USING (segment_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tp > 0 DESC, CASE WHEN tp > 0 THEN -segment_index ELSE segment_index END) = 1))", **_hits("gs = ps AND ge = pe"))
-def segment_dedup_metrics(v):
-    return E.with_prf(E.last_hit_rows(E.counts(v.rows, "exact")).agg(*E.totals()))
-
-
-@query("SELECT segment_id, round(iou, 6) AS iou, ps - gs AS start_delta, pe - ge AS end_delta FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, gs, ge, label, ps, pe) AS r FROM pairs2) WHERE r = 1")
-def row_offset_diag(v):
-    return E.best_pairs(v.rows).select("segment_id", "iou", "start_delta", "end_delta")
-
-
-@query("SELECT count(*) AS paired, round(avg(iou), 6) AS mean_iou, round(quantile_cont(abs(d), 0.5), 6) AS median_start, round(quantile_cont(abs(d), 0.9), 6) AS p90_start, count(*) FILTER (abs(d) <= 5) AS within_5 FROM (SELECT iou, ps - gs AS d, row_number() OVER (PARTITION BY segment_id ORDER BY iou DESC, gs, ge, label, ps, pe) AS r FROM pairs2) WHERE r = 1")
-def offset_diagnostics(v):
-    d = E.best_pairs(v.rows).withColumn("d", F.abs("start_delta"))
-    return d.agg(F.count(F.lit(1)).alias("paired"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.percentile("d", 0.5), 6).alias("median_start"), F.round(F.percentile("d", 0.9), 6).alias("p90_start"), F.count_if(F.col("d") <= 5).alias("within_5"))
-
-
 @query("SELECT count(*) AS completed, (SELECT count(*) FROM segs) AS total, round(100.0 * count(*) / (SELECT count(*) FROM segs), 2) AS percent FROM (SELECT DISTINCT segment_id FROM preds)")
 def progress(v):
     done = v.preds.agg(F.countDistinct("segment_id").alias("completed"))
@@ -373,12 +349,12 @@ def _bind(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], Data
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from spanloom.plans import more  # noqa: F401  registers its queries
+    from spanloom.plans import crops, files, inference, more, scoring, windows  # noqa: F401  register their queries
 
     return {name: _bind(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spanloom.plans import more  # noqa: F401
+    from spanloom.plans import crops, files, inference, more, scoring, windows  # noqa: F401
 
     return dict(_SQL)

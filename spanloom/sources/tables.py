@@ -51,13 +51,14 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends what `path` doesn't have yet, so that a run can be taken up again."""
+    """Appends what `path` doesn't have yet, so that a run can be taken up again; keys are compared null-safe."""
+    from spanloom.sources.shared import exists
+
     spark = rows.sparkSession
-    try:
-        rows = pending(rows, spark.read.parquet(path), keys)
-    except Exception as e:  # the first run has no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    if exists(spark, path):
+        done = spark.read.parquet(path).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        rows = rows.join(done, same, "left_anti")
     rows.write.mode("append").parquet(path)
 
 

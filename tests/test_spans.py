@@ -44,8 +44,7 @@ def test_first_of_equal_windows_stays(spark):
 
 def test_tokens_keep_offsets_over_delimiters(spark):
     segs = spark.createDataFrame([(1, 0, "1:0", "ab་།  ་cd")], "doc_id long, segment_index int, segment_id string, text string")
-    got = [(r.piece, r.start) for r in text.tokens(segs, "་།").orderBy("tok").collect()]
-    assert [x for x in got if x[0].strip("་།  ")] == [("ab་", 0), ("cd", 7)]
+    assert [(r.piece, r.start) for r in text.tokens(segs, "་།").orderBy("tok").collect()] == [("ab་", 0), ("  ་", 4), ("cd", 7)]
 
 
 def test_bio_round_trip(spark):
@@ -61,15 +60,3 @@ def test_split_sizes(spark, n, want):
     df = spark.createDataFrame([(i, "a") for i in range(n)], "doc_id long, stratum string")
     got = dict(sampling.stratified_split(df).groupBy("split").count().collect())
     assert (got.get("train", 0), got.get("val", 0), got.get("test", 0)) == want
-
-
-def test_stream_scores_each_row_once(spark, tmp_path):
-    from spanloom.streaming.score import score_new_rows
-
-    src, sink, ck = (str(tmp_path / x) for x in ("src", "sink", "ck"))
-    spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, t string").write.parquet(src)
-    run = lambda: score_new_rows(spark, src, "row_id long, t string", lambda d: d.withColumn("n", F.length("t")), sink, ck).awaitTermination()
-    run()
-    spark.createDataFrame([(2, "b"), (3, "c")], "row_id long, t string").write.mode("append").parquet(src)
-    run()
-    assert sorted(r.row_id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
