@@ -109,3 +109,16 @@ def bucket(chars: Column, short: int = 50_000, medium: int = 500_000) -> Column:
 def keyed_order(seed: int, key: Column) -> Column:
     """A seeded order of rows that is the same on any layout of the data."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def rebased(spans: Column, offset: Column) -> Column:
+    """Spans of a window, moved by the window's offset."""
+    return F.transform(spans, lambda s: s.withField("span_start", s["span_start"] + offset).withField("span_end", s["span_end"] + offset))
+
+
+def distinct_spans(spans: Column) -> Column:
+    """Each start, end and text once (the first label of those that share them), in order of start and end."""
+    place = F.transform(spans, lambda s, i: F.struct(s["span_start"].alias("a"), s["span_end"].alias("b"), s["text"].alias("t"), i.alias("i"), s.alias("s")))
+    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & x["t"].eqNullSafe(y["t"])
+    first = F.filter(place, lambda x: ~F.exists(F.slice(place, 1, x["i"]), lambda y: same(x, y)))
+    return F.transform(F.array_sort(first), lambda x: x["s"])

@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.operators import labels
-
-BEFORE = (Window.unboundedPreceding, -1)
-
+from spanloom.operators.adapters import delimiter_tokenizer, pieces_of
 
 def segments(docs: DataFrame) -> DataFrame:
-    """One row a line: doc_id, segment_index, segment_id, span_start, span_end, text; offsets within the document."""
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("segment_index", "text"))
-    own = Window.partitionBy("doc_id").orderBy("segment_index").rowsBetween(*BEFORE)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(own), F.lit(0))
-    line = line.withColumn("span_start", start).withColumn("span_end", F.col("span_start") + F.length("text"))
-    return line.withColumn("segment_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("segment_index").cast("string")))
+    """One row a line of docs (doc_id, text): doc_id, segment_index, segment_id, span_start, span_end, text; offsets within the document. Lines are
+    found and placed as rows are read, without a shuffle; a null text has no lines, an empty one has one."""
+    names = [("segment_index", T.IntegerType()), ("segment_id", T.StringType()), ("span_start", T.LongType()), ("span_end", T.LongType()), ("text", T.StringType())]
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(*f) for f in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces_of(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 1 << 20):
+                lines = [[] if t is None else t.split("\n") for t in b.column(1).to_pylist()]
+                count = np.array([len(x) for x in lines], dtype=np.int64)
+                place = np.concatenate([np.arange(n) for n in count] or [np.zeros(0)]).astype(np.int32)
+                size = np.fromiter((len(x) for own in lines for x in own), dtype=np.int64)
+                ends = np.cumsum(size + 1)
+                begin = ends - size - 1 - np.repeat(np.concatenate([[0], ends])[np.cumsum(count) - count], count)
+                owner = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), count)))
+                named = pc.binary_join_element_wise(pc.cast(owner, pa.string()), pc.cast(pa.array(place), pa.string()), ":")
+                yield pa.RecordBatch.from_arrays([owner, pa.array(place), named, pa.array(begin), pa.array(begin + size), pa.array([x for own in lines for x in own], pa.string())], names=schema.fieldNames())
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def tokens(segs: DataFrame, delimiters: str = " ") -> DataFrame:
-    """Pieces of text up to and with one delimiter, with offsets; pieces of white space and lone delimiters are dropped, offsets stay true."""
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"[^{delimiters}]+[{delimiters}]?|[{delimiters}]"), F.lit(0))
-    ends = F.transform(pieces, lambda x, i: F.struct(F.length(x).alias("n"), x.alias("piece"), i.alias("i")))
-    each = segs.select("doc_id", "segment_index", "segment_id", F.explode(ends).alias("p")).select("doc_id", "segment_index", "segment_id", "p.*")
-    own = Window.partitionBy("segment_id").orderBy("i")
-    each = each.withColumn("start", F.coalesce(F.sum("n").over(own.rowsBetween(*BEFORE)), F.lit(0))).withColumn("end", F.col("start") + F.col("n"))
-    kept = each.where(F.col("piece").rlike(f"^[^{delimiters}]") & ~F.col("piece").rlike("(?U)^[\\s\\x1c-\\x1f]*$"))
-    return kept.withColumn("tok", F.row_number().over(own) - 1).drop("i", "n")
+    """Pieces of text up to and with one delimiter, with offsets (doc_id, segment_index, segment_id, tok, piece, start, end), found as rows are read;
+    pieces of white space and lone delimiters are dropped, offsets stay true."""
+    names = [("tok", T.IntegerType()), ("piece", T.StringType()), ("start", T.LongType()), ("end", T.LongType())]
+    schema = T.StructType([*[segs.schema[c] for c in ("doc_id", "segment_index", "segment_id")], *[T.StructField(*f) for f in names]])
+    factory = delimiter_tokenizer(delimiters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = factory()
+        for batch in batches:
+            for b in pieces_of(batch, pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False), 1 << 20):
+                texts = [t or "" for t in b.column(3).to_pylist()]
+                spans = [x for _, x in cut(texts)]
+                count = [len(x) for x in spans]
+                owner = pa.array(np.repeat(np.arange(len(b)), count))
+                tok = np.concatenate([np.arange(n) for n in count] or [np.zeros(0)]).astype(np.int32)
+                edge = np.array([x for own in spans for x in own], dtype=np.int64).reshape(-1, 2)
+                said = pa.array([t[s:e] for t, own in zip(texts, spans, strict=True) for s, e in own], pa.string())
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(owner) for k in range(3)], pa.array(tok), said, pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy())], names=schema.fieldNames())
+
+    return segs.select("doc_id", "segment_index", "segment_id", "text").mapInArrow(run, schema)
 
 
 def text_windows(rows: DataFrame, size: int, text_col: str = "text") -> DataFrame:
@@ -49,25 +78,6 @@ def text_windows(rows: DataFrame, size: int, text_col: str = "text") -> DataFram
     return w.select(*kept, "w.*")
 
 
-def annotations(segs: DataFrame, toks: DataFrame) -> DataFrame:
-    """Gold spans: the first three tokens of every third segment (title), the last two of every fifth (author)."""
-    n = toks.withColumn("n_tok", F.count(F.lit(1)).over(Window.partitionBy("segment_id")))
-    mark = F.array_compact(F.array(F.when((F.col("segment_index") % 3 == 0) & (F.col("tok") < 3), F.lit("title")), F.when((F.col("segment_index") % 5 == 0) & (F.col("tok") >= F.col("n_tok") - 2), F.lit("author"))))
-    spans = n.withColumn("label", F.explode(mark)).groupBy("doc_id", "segment_index", "segment_id", "label").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"))
-    return with_text(spans, segs)
-
-
-def predictions(anns: DataFrame, segs: DataFrame) -> DataFrame:
-    """Simulated predictions: gold spans dropped or shifted by fixed rules, and a spurious one in every seventh document."""
-    shift = F.col("doc_id") % 13 - 6
-    moved = anns.where((F.col("doc_id") + F.col("segment_index")) % 4 != 0).select(
-        "doc_id", "segment_index", "segment_id", "label", F.greatest(F.lit(0), F.col("span_start") + shift).alias("span_start"), (F.col("span_end") + shift + F.col("segment_index") % 5 - 2).alias("e")
-    )
-    moved = moved.withColumn("span_end", F.greatest(F.col("span_start") + 1, "e")).drop("e")
-    extra = segs.where("doc_id % 7 = 0 and segment_index = 0").select("doc_id", "segment_index", "segment_id", F.lit("title").alias("label"), F.lit(5).cast("long").alias("span_start"), F.lit(9).cast("long").alias("span_end"))
-    return with_text(moved.unionByName(extra), segs)
-
-
 def with_text(spans: DataFrame, segs: DataFrame) -> DataFrame:
     text = segs.select("segment_id", F.col("text").alias("segment_text"))
     return spans.join(text, "segment_id").withColumn("text", span_text(F.col("segment_text"), F.col("span_start"), F.col("span_end"))).drop("segment_text")

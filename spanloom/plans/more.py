@@ -74,8 +74,8 @@ _BOUNDS = {"bounds_tok": "SELECT a.segment_id, a.label, min(tok) AS lo, max(tok)
 
 def bounds(v) -> DataFrame:
     """(segment_id, label, lo, hi, n_tok): first and last token of each annotation."""
-    over = v.anns.select("segment_id", "label", "span_start", "span_end").join(v.toks.select("segment_id", "tok", "start", "end"), "segment_id").where("start < span_end and end > span_start")
-    return over.groupBy("segment_id", "label").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi")).join(v.n_toks, "segment_id")
+    d = v.arrays.select("segment_id", "n_tok", F.explode(labels.token_ranges(F.col("offsets"), F.col("annotations"))).alias("r"))
+    return d.select("segment_id", F.lower("r.entity").alias("label"), F.col("r.lo").alias("lo"), (F.col("r.hi") - 1).alias("hi"), "n_tok")
 
 
 @ask("SELECT segment_id, label, lo, hi FROM bounds_tok", **_BOUNDS)
@@ -109,8 +109,7 @@ _EXAMPLES = _WTAGS | {
 
 def window_rows(v) -> DataFrame:
     """One row a window of 16 tokens, every 8, up to 4 from either end, with its own annotations, offsets and tags."""
-    rows = text.as_arrays(v.toks, v.anns).withColumn("n_tok", F.size("offsets"))
-    return labels.window_labels(text.with_windows(rows, 16, 8, 4))
+    return labels.window_labels(text.with_windows(v.arrays, 16, 8, 4))
 
 
 def examples(v) -> DataFrame:
@@ -145,12 +144,6 @@ def verify_windows(v):
     return per.select("segment_id", "windows", "lengths_ok", "signs_ok", F.when(F.col("n_tok") <= 16, F.col("windows") == 1).otherwise(F.col("windows") <= 8).alias("count_ok"))
 
 
-@ask("SELECT count(*) AS windows, count(*) FILTER (entity > 0) AS with_entity, count(*) FILTER (entity = 0) AS without, count(DISTINCT segment_id) AS segments FROM examples", **_WINDOWS, **_EXAMPLES)
-def balance_report(v):
-    has = F.exists("labels", lambda x: x > 0)
-    return examples(v).select("segment_id", has.alias("h")).agg(F.count(F.lit(1)).alias("windows"), F.count_if("h").alias("with_entity"), F.count_if(~F.col("h")).alias("without"), F.countDistinct("segment_id").alias("segments"))
-
-
 # --- merging predictions ---
 
 def merge_votes(votes: DataFrame) -> DataFrame:
@@ -160,17 +153,6 @@ def merge_votes(votes: DataFrame) -> DataFrame:
     return text.bio_spans(best.withColumnRenamed("start", "tok").withColumn("start", F.col("tok")))
 
 
-_DOUBLE = {"said": "SELECT segment_id, label, span_start, span_end, text FROM preds UNION ALL SELECT segment_id, 'other', span_start, span_end, text FROM preds WHERE doc_id % 2 = 0"}
-
-
-@ask("SELECT segment_id, count(*) AS spans, min(span_start) AS first_start FROM (SELECT DISTINCT segment_id, span_start, span_end, text FROM said) GROUP BY 1", **_DOUBLE)
-def dedupe_spans(v):
-    """Spans of one start, end and text once, in order of start and end."""
-    said = v.preds.select("segment_id", "span_start", "span_end", "text").unionByName(v.preds.where("doc_id % 2 = 0").select("segment_id", "span_start", "span_end", "text"))
-    d = said.groupBy("segment_id").agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end", "text"))).alias("s"))
-    return d.select("segment_id", F.size("s").alias("spans"), F.get("s", F.lit(0))["span_start"].alias("first_start"))
-
-
 def escaped(s):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -230,27 +212,6 @@ def segment_eval_views(v):
     return evaluate.with_prf(sums.select("family", F.coalesce("label", F.lit("overall")).alias("view"), "tp", "fp", "fn"))
 
 
-@ask("SELECT family, CAST(sum(tp) AS BIGINT) AS tp FROM label_hits WHERE label = 'title' AND family IN ('exact', 'iou50') GROUP BY 1", **_VIEWS)
-def metrics_from_map(v):
-    """Counts stored as a map of families where a row has one (even documents), computed anew where it has none."""
-    mine = lambda c: F.filter(c, lambda s: s["label"] == "title")
-    rows = v.rows.withColumn("g", mine("gold")).withColumn("p", mine("pred"))
-    fresh = F.create_map(F.lit("exact"), S.exact_hits(F.col("g"), F.col("p"))[0], F.lit("iou50"), S.greedy(F.col("g"), F.col("p"), S.MATCHES["iou50"]))
-    stored = rows.select("doc_id", "g", "p", F.when(F.col("doc_id") % 2 == 0, fresh).alias("title_eval"))
-    return stored.select(F.explode(F.coalesce("title_eval", fresh)).alias("family", "tp")).groupBy("family").agg(F.sum("tp").alias("tp"))
-
-
-
-
-
-
-@ask("SELECT label, count(*) AS n, round(median(length(s.text)), 6) AS input_length, round(median(a.span_start), 6) AS start, round(median(round(a.span_start / length(s.text), 9)), 6) AS relative FROM anns a JOIN segs s USING (segment_id) GROUP BY 1")
-def span_position_profile(v):
-    d = v.anns.select("segment_id", "label", "span_start").join(v.segs.select("segment_id", F.length("text").alias("n")), "segment_id")
-    mid = lambda c, name: F.round(F.percentile(c, 0.5), 6).alias(name)
-    return d.withColumn("r", F.round(F.col("span_start") / F.col("n"), 9)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), mid("n", "input_length"), mid("span_start", "start"), mid("r", "relative"))
-
-
 # --- generative windows ---
 
 
@@ -300,11 +261,3 @@ def timing_percentiles(v):
     return value_ranks(times(v), "ms", "g").groupBy("g").agg(q(0.5).alias("p50"), q(0.95).alias("p95")).drop("g")
 
 
-@ask("SELECT part, count(*) AS n, max(CASE WHEN r = CAST(floor(0.95 * n) AS BIGINT) - 1 THEN ms END) AS p95 FROM (SELECT part, ms, row_number() OVER (PARTITION BY part ORDER BY ms) - 1 AS r, count(*) OVER (PARTITION BY part) AS n FROM (SELECT 'first' AS part, ms FROM ms WHERE pos < 50 UNION ALL SELECT 'last', ms FROM ms WHERE pos >= (SELECT count(*) FROM documents) - 50)) GROUP BY 1", **_MS)
-def timing_slices(v):
-    d = positions(times(v), "doc_id")
-    n = F.broadcast(v.docs.agg(F.count(F.lit(1)).alias("all_docs")))
-    d = d.join(n)
-    part = F.filter(F.array(F.when(F.col("pos") < 50, F.lit("first")), F.when(F.col("pos") >= F.col("all_docs") - 50, F.lit("last"))), lambda x: x.isNotNull())
-    r = value_ranks(d.select(F.explode(part).alias("part"), "ms"), "ms", "part")
-    return r.groupBy("part").agg(F.sum("c").alias("n"), at_rank("ms", F.floor(F.lit(0.95) * F.col("n")) - 1).alias("p95"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 from spanloom.operators import evaluate as E
-from spanloom.operators import sampling, text
+from spanloom.operators import labels, sampling, text
+from spanloom.operators.passages import passages
 from spanloom.operators.ranks import positions
 from spanloom.plans.views import Views, sql
+from spanloom.sources.workers import send_package
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -109,22 +111,22 @@ def collect_test_segments(v):
     return v.segs.join(keys, "segment_id").join(v.docmeta.where("is_annotated").select("doc_id"), "doc_id", "left_semi").select("doc_id", "segment_id", "text")
 
 
-@query("SELECT doc_id, segment_count, coalesce(annotation_count, 0) AS annotation_count FROM (SELECT doc_id, count(*) AS segment_count FROM segs GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS annotation_count FROM anns GROUP BY 1) USING (doc_id)")
+@query("SELECT d.doc_id, count(DISTINCT s.segment_id) AS segment_count, count(label) AS annotation_count, coalesce(bool_or(label = 'title'), false) AS has_title, coalesce(bool_or(label = 'author'), false) AS has_author FROM documents d JOIN segs s USING (doc_id) LEFT JOIN anns a ON a.segment_id = s.segment_id GROUP BY 1")
 def index_from_documents(v):
-    return v.segs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count")).join(v.anns.groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotation_count")), "doc_id", "left").fillna(0)
+    has = lambda name: F.bool_or(F.exists("gold", lambda s: s["label"] == name)).alias(f"has_{name}")
+    return v.seg_rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("segment_count"), F.sum(F.size("gold")).alias("annotation_count"), has("title"), has("author"))
+
+
+@query("SELECT doc_id, n FROM (SELECT d.doc_id, count(DISTINCT segment_id) AS n FROM docmeta d JOIN anns a USING (doc_id) WHERE status = 'approved' AND is_annotated GROUP BY 1) ORDER BY n DESC, doc_id LIMIT 10")
+def top_annotated_docs(v):
+    """The ten approved documents with the most annotated segments; ties go by id."""
+    n = v.anns.groupBy("doc_id").agg(F.countDistinct("segment_id").alias("n"))
+    return n.join(v.docmeta.where("status = 'approved' and is_annotated").select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("n"), "doc_id").limit(10)
 
 
 @query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS span_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passage_spans(v):
-    # an inner word of a passage is whole in every text that holds the passage: the longest routes it
-    inner = F.split(F.regexp_replace("text", "\n", " "), " ")
-    inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2))
-    b = v.read("benchmark").select("item_id", F.col("text").alias("passage"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
-    words = v.docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
-    met = words.join(b, "word").join(v.docs.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)"))
-    short = v.docs.select("doc_id", "text").join(b.where("word is null"), F.expr("contains(text, passage)"))  # one or two words: no inner one
-    both = met.select("item_id", "doc_id", "text", "passage").unionByName(short.select("item_id", "doc_id", "text", "passage"))
-    return both.select("item_id", "doc_id", (F.expr("locate(passage, text)") - 1).cast("long").alias("span_start")).distinct()
+    return passages(v.docs, v.read("benchmark"))
 
 
 # --- text, windows, labels ---
@@ -164,11 +166,12 @@ def slide_windows(v):
 
 @query('SELECT w.segment_id, w.side, CAST(w.slide_index AS BIGINT) AS slide_index, a.label, a.span_start - b.s AS span_start, a.span_end - b.s AS span_end FROM windows w JOIN (SELECT w.segment_id, w.side, w.slide_index, min(start) AS s, max("end") AS e FROM windows w JOIN toks t ON t.segment_id = w.segment_id AND tok >= start_tok AND tok < end_tok GROUP BY ALL) b USING (segment_id, side, slide_index) JOIN anns a ON a.segment_id = w.segment_id AND a.span_start >= b.s AND a.span_end <= b.e', **_WINDOWS)
 def window_annotations(v):
-    w = text.slide_windows(v.n_toks, 16, 8, 4)
-    edge = w.join(v.toks.select("segment_id", "tok", "start", "end"), "segment_id").where("tok >= start_tok and tok < end_tok")
-    edge = edge.groupBy("segment_id", "side", "slide_index").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    hit = edge.join(v.anns.select("segment_id", "label", "span_start", "span_end"), "segment_id").where("span_start >= s and span_end <= e")
-    return hit.select("segment_id", "side", F.col("slide_index").cast("long").alias("slide_index"), "label", (F.col("span_start") - F.col("s")).alias("span_start"), (F.col("span_end") - F.col("s")).alias("span_end"))
+    """Annotations that lie whole in a window, rebased in place."""
+    w = text.with_windows(v.arrays, 16, 8, 4).select("segment_id", "annotations", F.explode("ws").alias("w"), "offsets")
+    at = lambda i, c: F.get("offsets", i)[c]
+    inner = labels.rebased(F.col("annotations"), at(F.col("w.start_tok"), "start"), at(F.col("w.end_tok") - 1, "end"))
+    d = w.select("segment_id", "w.side", F.col("w.slide_index").cast("long").alias("slide_index"), F.explode(inner).alias("a"))
+    return d.select("segment_id", "side", "slide_index", "a.label", "a.span_start", "a.span_end")
 
 
 @query("SELECT CASE WHEN n_tok <= 16 THEN 'short' WHEN n_tok <= 64 THEN 'medium' ELSE 'long' END AS tier, count(*) AS segments, min(c) AS least, max(c) AS most, sum(c) AS windows FROM (SELECT segment_id, n_tok, count(*) AS c FROM windows GROUP BY ALL) GROUP BY 1", **_WINDOWS)
@@ -183,7 +186,8 @@ _TAGS = {"over_ann": _OVER, "tag_rows": "SELECT segment_id, tok, arg_max((CASE W
 
 @query("SELECT t.segment_id, t.tok, coalesce(tag, 'O') AS tag FROM toks t LEFT JOIN tag_rows r USING (segment_id, tok)", **_TAGS)
 def bio_tags(v):
-    return text.bio_tags(v.toks, v.anns).select("segment_id", F.col("tok").cast("long").alias("tok"), "tag")
+    d = v.arrays.select("segment_id", F.posexplode(labels.tags(F.col("offsets"), F.col("annotations"))).alias("tok", "tag"))
+    return d.select("segment_id", F.col("tok").cast("long").alias("tok"), "tag")
 
 
 _RUNS = {
@@ -194,13 +198,14 @@ _RUNS = {
 
 @query("SELECT segment_id, lower(substring(min(tag), 3)) AS label, min(start) AS span_start, max(\"end\") AS span_end FROM cuts WHERE tag <> 'O' GROUP BY segment_id, island HAVING arg_min(left(tag, 1), tok) = 'B'", **_TAGS, **_RUNS)
 def bio_to_spans(v):
-    return text.bio_spans(text.bio_tags(v.toks, v.anns)).select("segment_id", "label", "span_start", "span_end")
+    both = labels.let(F.struct(F.col("offsets").alias("o"), F.col("annotations").alias("a")), lambda x: labels.decoded(x["o"], labels.tags(x["o"], x["a"])))
+    return v.arrays.select("segment_id", F.explode(both).alias("s")).select("segment_id", "s.label", "s.span_start", "s.span_end")
 
 
 @query("SELECT k, label, count(*) AS total, count(*) FILTER (n_tok <= 2 * k OR hi < k OR lo >= n_tok - k) AS captured FROM (SELECT a.segment_id, a.label, min(tok) AS lo, max(tok) AS hi FROM anns a JOIN toks t ON t.segment_id = a.segment_id AND start < span_end AND \"end\" > span_start GROUP BY ALL) JOIN n_toks USING (segment_id), (VALUES (4), (8), (16), (32)) t(k) GROUP BY ALL")
 def capture_at_k(v):
-    over = v.anns.select("segment_id", "label", "span_start", "span_end").join(v.toks.select("segment_id", "tok", "start", "end"), "segment_id").where("start < span_end and end > span_start")
-    span = over.groupBy("segment_id", "label").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi")).join(v.n_toks, "segment_id").withColumn("k", F.explode(F.array(*map(F.lit, (4, 8, 16, 32)))))
+    r = v.arrays.select("n_tok", F.explode(labels.token_ranges(F.col("offsets"), F.col("annotations"))).alias("r"), F.array(*map(F.lit, (4, 8, 16, 32))).alias("ks"))
+    span = r.select(F.lower("r.entity").alias("label"), F.col("r.lo").alias("lo"), (F.col("r.hi") - 1).alias("hi"), "n_tok", F.explode("ks").alias("k"))
     hit = F.expr("n_tok <= 2 * k or hi < k or lo >= n_tok - k")
     return span.groupBy("k", "label").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("captured"))
 
@@ -345,16 +350,20 @@ def prompts(v):
 
 
 def _bind(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: f(Views(spark, folder))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        send_package(spark)
+        return f(Views(spark, folder))
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from spanloom.plans import crops, files, inference, more, scoring, windows  # noqa: F401  register their queries
+    from spanloom.plans import crops, files, inference, more, reports, scoring, windows  # noqa: F401  register their queries
 
     return {name: _bind(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spanloom.plans import crops, files, inference, more, scoring, windows  # noqa: F401
+    from spanloom.plans import crops, files, inference, more, reports, scoring, windows  # noqa: F401
 
     return dict(_SQL)

@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import evaluate, text
+from spanloom.operators import adapters, text
+from spanloom.plans import marks
 from spanloom.sources.tables import table
 
 
@@ -34,25 +35,43 @@ class Views:
     def segs(self) -> DataFrame:
         return text.segments(self.docs.select("doc_id", "text"))
 
+    @cached_property
+    def seg_rows(self) -> DataFrame:
+        """Segments with their tokens' offsets, gold spans and predictions as arrays: all found as rows are read, without a shuffle."""
+        d = adapters.tokenize(self.segs, adapters.delimiter_tokenizer(" ")).drop("token_ids")
+        return d.withColumn("gold", marks.gold()).withColumn("pred", marks.predicted(F.col("gold")))
+
+    @cached_property
+    def arrays(self) -> DataFrame:
+        """Segments with tokens: segment_id, n_tok, offsets, and annotations in order of start, end, label."""
+        a = F.array_sort(F.transform("gold", lambda s: F.struct(s["span_start"].alias("span_start"), s["span_end"].alias("span_end"), s["label"].alias("label"))))
+        return self.seg_rows.where(F.size("offsets") > 0).select("segment_id", F.size("offsets").cast("long").alias("n_tok"), "offsets", a.alias("annotations"))
+
     @cached_property
     def toks(self) -> DataFrame:
         return text.tokens(self.segs)
 
     @cached_property
     def n_toks(self) -> DataFrame:
-        return self.toks.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_tok"))
+        return self.arrays.select("segment_id", "n_tok")
+
+    def _spans(self, name: str) -> DataFrame:
+        d = self.seg_rows.select("doc_id", "segment_index", "segment_id", F.explode(name).alias("s"))
+        return d.select("doc_id", "segment_index", "segment_id", "s.label", "s.span_start", "s.span_end", "s.text")
 
     @cached_property
     def anns(self) -> DataFrame:
-        return text.annotations(self.segs, self.toks)
+        return self._spans("gold")
 
     @cached_property
     def preds(self) -> DataFrame:
-        return text.predictions(self.anns, self.segs)
+        return self._spans("pred")
 
     @cached_property
     def rows(self) -> DataFrame:
-        return evaluate.span_rows(self.segs, self.anns, self.preds)
+        """One row a segment with spans: gold and pred in order of start, end, label."""
+        d = self.seg_rows.where((F.size("gold") > 0) | (F.size("pred") > 0))
+        return d.select("doc_id", "segment_index", "segment_id", F.array_sort("gold").alias("gold"), F.array_sort("pred").alias("pred"))
 
     @cached_property
     def strata(self) -> DataFrame:

@@ -84,7 +84,7 @@ _FAIL = {
 @ask("SELECT segment_id FROM ((SELECT * FROM seg_expected EXCEPT ALL SELECT * FROM seg_decoded) UNION ALL (SELECT * FROM seg_decoded EXCEPT ALL SELECT * FROM seg_expected)) GROUP BY 1", **_TAGS, **_RUNS, **_FAIL)
 def roundtrip_failures(v):
     """Segments whose tags don't decode to their annotations, stretched to tokens (multisets), or that have an annotation without a token."""
-    rows = text.as_arrays(v.toks, v.anns)
+    rows = v.arrays
 
     def whole(x):
         return (F.size(labels.token_ranges(x["o"], x["a"])) == F.size(x["a"])) & labels.comes_back(x["o"], labels.tags(x["o"], x["a"]), x["a"])

@@ -81,6 +81,11 @@ def markdown(table: DataFrame, columns: list[str]) -> DataFrame:
     return head.unionByName(table.select("place", F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line")))
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """(place, line) as one text file; a report has a line a run."""
+    lines.coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """runs (name, json): a file a run, path/name=<name>/part-*.json, each a whole JSON text."""
     runs.select("name", "json").repartition("name").write.partitionBy("name").text(path)

@@ -65,3 +65,20 @@ def append(rows: DataFrame, path: str, keys: list[str]) -> None:
 def shards(rows: DataFrame, path: str, per_file: int = 75) -> None:
     """Snappy Parquet of at most per_file rows a file."""
     rows.write.option("maxRecordsPerFile", per_file).option("compression", "snappy").parquet(path)
+
+
+def dataset(spark: SparkSession, path: str, columns: list[str], most: int | None = None, key: str | None = None, seed: int = 42) -> DataFrame:
+    """The model's columns of a data set (JSON Lines where the path says so, else Parquet); with `most`, that many rows in the keyed order of `key`."""
+    rows = spark.read.json(path) if ".json" in path else spark.read.parquet(path)
+    if most is not None:
+        from spanloom.functions.spans import keyed_order
+
+        rows = rows.orderBy(keyed_order(seed, F.col(key)), key).limit(most)
+    return rows.select(*columns)
+
+
+def with_texts(rows: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """rows with their text: their own, or where it is null or empty that of `texts` (keys, text), if there is one."""
+    other = texts.select(*keys, F.col(text).alias("__text"))
+    both = rows.join(other, keys, "left").withColumn(text, F.coalesce(F.nullif(F.col(text), F.lit("")), "__text", F.col(text)))
+    return both.drop("__text")
