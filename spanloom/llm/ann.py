@@ -63,11 +63,13 @@ class Index:
         return (four[:, 0::2, :, None] + four[:, 1::2, None, :]).reshape(len(unit), m // 2, 256).astype(np.float32)
 
 
-def fit(sample: np.ndarray, leaves: int, subspaces: int = 16, parallel: float = 4.0, steps: int = 4, seed: int = 5) -> Index:
+def fit(sample: np.ndarray, leaves: int, subspaces: int | None = None, parallel: float = 4.0, steps: int = 4, seed: int = 5) -> Index:
     """Index of a bounded sample: spherical k-means for the centres, then codes and books in turn. A book's entry is the
-    least-squares answer of its rows' anisotropic cost, the other subspaces held."""
+    least-squares answer of its rows' anisotropic cost, the other subspaces held. By default a subspace is four components wide at most, so
+    that codes grow with the vectors: 16 sums say too little of a wider one."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
+    subspaces = subspaces or max(16, -(-d // 4))
     subspaces += subspaces % 2
     width = max(1, -(-d // subspaces))
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
