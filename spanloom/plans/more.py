@@ -236,12 +236,6 @@ def gold_from_output(v):
     return ends.select("segment_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
-@ask("SELECT segment_id, n_tok + 40 AS prompt, least(n_tok + 40, 96) AS used, n_tok + 40 >= 96 AS truncated FROM n_toks")
-def context_budget(v):
-    p = F.col("n_tok") + 40  # an instruction of 40 tokens, a context of 128 of which 32 are for the answer
-    return v.n_toks.select("segment_id", p.alias("prompt"), F.least(p, F.lit(96)).alias("used"), (p >= 96).alias("truncated"))
-
-
 _MS = {"ms": "SELECT doc_id, 10 + n_chars % 97 AS ms, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents", "ranked_ms": "SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS r, count(*) OVER () AS n FROM ms"}
 
 

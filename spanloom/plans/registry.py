@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
+from spanloom.functions.prompts import prompt
 from spanloom.operators import evaluate as E
 from spanloom.operators import labels, sampling, text
 from spanloom.operators.passages import passages
@@ -43,12 +44,6 @@ def doc_lookup(v):
     return v.docmeta.select("doc_id", "filename", "status", F.length("content").cast("long").alias("n"))
 
 
-@query("SELECT s.segment_id, s.doc_id, s.segment_index, s.span_start, s.span_end, a.span_start AS title_start, a.span_end AS title_end FROM segs s JOIN anns a ON a.segment_id = s.segment_id AND a.label = 'title'")
-def segment_scan(v):
-    title = v.anns.where("label = 'title'").select("segment_id", F.col("span_start").alias("title_start"), F.col("span_end").alias("title_end"))
-    return v.segs.join(title, "segment_id").select("segment_id", "doc_id", "segment_index", "span_start", "span_end", "title_start", "title_end")
-
-
 @query("SELECT count(*) AS n FROM (SELECT doc_id FROM docmeta d WHERE status = 'approved' AND EXISTS (SELECT 1 FROM anns a WHERE a.doc_id = d.doc_id))")
 def matching_doc_count(v):
     return v.docmeta.where("status = 'approved'").join(v.anns.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
@@ -344,9 +339,20 @@ def parse_spans(v):
     return said.select("segment_id", F.explode(parsed["spans"]).alias("s")).select("segment_id", "s.label", "s.start", "s.end")
 
 
-@query("SELECT segment_id, '### Instruction: Extract spans.' || chr(10) || '### Input: ' || text AS prompt FROM segs")
+@query("SELECT segment_id, family, md5(before || 'Extract the title.' || chr(10) || chr(10) || text || after) AS prompt_md5 FROM segs, (VALUES ('llama', '<s>[INST] ', ' [/INST]'), ('qwen', '<|im_start|>user' || chr(10), chr(10) || '<|im_start|>assistant' || chr(10))) f(family, before, after)")
 def prompts(v):
-    return v.segs.select("segment_id", F.concat(F.lit("### Instruction: Extract spans.\n### Input: "), F.col("text")).alias("prompt"))
+    """Prompts of each segment in the signs of two families."""
+    each = [F.struct(F.lit(f).alias("family"), F.md5(prompt(F.lit("Extract the title."), F.col("text"), f)).alias("prompt_md5")) for f in ("llama", "qwen")]
+    return v.segs.select("segment_id", F.explode(F.array(*each)).alias("x")).select("segment_id", "x.family", "x.prompt_md5")
+
+
+@query("SELECT s.segment_id, s.doc_id, s.segment_index, s.span_start, s.span_end, s.span_start + t.span_start AS title_start, s.span_start + t.span_end AS title_end, t.text AS title, s.span_start + a.span_start AS author_start, s.span_start + a.span_end AS author_end, a.text AS author FROM segs s LEFT JOIN (SELECT * FROM anns WHERE label = 'title') t ON t.segment_id = s.segment_id LEFT JOIN (SELECT * FROM anns WHERE label = 'author') a ON a.segment_id = s.segment_id WHERE t.label IS NOT NULL OR a.label IS NOT NULL")
+def segment_scan(v):
+    """Segments with a title or an author, both with their bounds in the document, in order of start."""
+    one = lambda label: F.get(F.filter("gold", lambda s: s["label"] == label), F.lit(0))
+    d = v.seg_rows.where(F.size("gold") > 0).withColumn("t", one("title")).withColumn("a", one("author"))
+    side = lambda c, name: [(F.col("span_start") + F.col(f"{c}.span_start")).alias(f"{name}_start"), (F.col("span_start") + F.col(f"{c}.span_end")).alias(f"{name}_end"), F.col(f"{c}.text").alias(name)]
+    return d.select("segment_id", "doc_id", "segment_index", "span_start", "span_end", *side("t", "title"), *side("a", "author")).orderBy("doc_id", "span_start")
 
 
 def _bind(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
+from spanloom.functions.prompts import token_stats
 from spanloom.operators import sampling
 from spanloom.operators.ranks import at_rank, between_ranks, positions, value_ranks
 from spanloom.plans.more import _EXAMPLES, _IDS, ask, window_rows
@@ -51,6 +52,24 @@ def dedupe_spans(v):
     return back.select("segment_id", F.explode(S.distinct_spans(spans)).alias("s")).select("segment_id", "s.span_start", "s.span_end", "s.text")
 
 
+@ask("SELECT g.segment_id, count(*) AS num_windows, CAST(sum(b - a + 3) AS BIGINT) AS prompt_tokens, CAST(sum(coalesce(said, 0)) AS BIGINT) AS output_tokens, max(b - a + 3 + coalesce(said, 0)) AS longest, min(40 - (b - a + 3)) AS remaining, bool_or(n_tok > 32 AND x.e - x.s < length(t.text)) AS cropped FROM gen g JOIN gen_edge x USING (segment_id, w) JOIN segs t ON t.segment_id = g.segment_id JOIN n_toks n ON n.segment_id = g.segment_id LEFT JOIN (SELECT y.segment_id, y.w, count(*) AS said FROM gen_edge y JOIN preds p ON p.segment_id = y.segment_id AND p.span_start >= y.s AND p.span_end <= y.e GROUP BY 1, 2) o ON o.segment_id = g.segment_id AND o.w = g.w GROUP BY 1", **_GEN)
+def context_budget(v):
+    """What the windows of each segment add up to: prompts of 3 tokens of instruction and the window's, a token of output for each span in it, in a
+    context of 40."""
+    n = F.size("offsets")
+    most = F.when(n <= 32, F.lit(0)).otherwise(F.floor((n - 32 + 23) / 24)).cast("int")
+    at = lambda i, c: F.get("offsets", i.cast("int"))[c].cast("long")
+
+    def window(w):
+        first, last = w * 24, F.least(w * 24 + 32, n) - 1
+        s, e = at(first, "start"), at(last, "end")
+        said = F.size(F.filter("pred", lambda x: (x["span_start"] >= s) & (x["span_end"] <= e)))
+        return F.struct(F.when(n <= 32, F.length("text")).otherwise(e - s).cast("long").alias("chars"), (last - first + 4).cast("long").alias("prompt"), said.cast("long").alias("output"))
+
+    d = v.seg_rows.where(n > 0).select("segment_id", F.length("text").cast("long").alias("chars"), F.transform(F.sequence(F.lit(0), most), window).alias("ws"))
+    return d.select("segment_id", token_stats(F.col("ws"), F.col("chars"), 40).alias("x")).select("segment_id", "x.*")
+
+
 _MAP = {"title_tp": "SELECT segment_id, count(DISTINCT label) AS tp FROM pairs2 WHERE label = 'title' AND gs = ps AND ge = pe GROUP BY 1", "title_n": "SELECT doc_id, segment_id, sum(g) AS g, sum(p) AS p FROM (SELECT doc_id, segment_id, 1 AS g, 0 AS p FROM anns WHERE label = 'title' UNION ALL SELECT doc_id, segment_id, 0, 1 FROM (SELECT DISTINCT doc_id, segment_id, span_start, span_end FROM preds WHERE label = 'title')) GROUP BY 1, 2", "logged": "SELECT s.segment_id, s.doc_id, coalesce(n.g, 0) AS g, coalesce(n.p, 0) AS p, coalesce(t.tp, 0) AS tp FROM gp s0 JOIN segs s USING (segment_id) LEFT JOIN title_n n ON n.segment_id = s.segment_id LEFT JOIN title_tp t ON t.segment_id = s.segment_id"}
 
 

@@ -143,3 +143,14 @@ def test_dataset_scan_and_texts(spark, tmp_path):
     rows = spark.createDataFrame([(1, "own"), (2, ""), (3, None), (4, "")], "k int, text string")
     other = spark.createDataFrame([(1, "no"), (2, "two"), (3, "three")], "k int, text string")
     assert {r.k: r.text for r in tables.with_texts(rows, other, ["k"]).collect()} == {1: "own", 2: "two", 3: "three", 4: ""}
+
+
+def test_prompts_and_windows_of_tokens(spark):
+    from spanloom.functions.prompts import prompt, token_stats
+
+    p = spark.range(1).select(*[prompt(F.lit("I"), F.lit("x\ny"), f).alias(f) for f in ("llama", "qwen", "other")], prompt(F.lit("I"), F.lit("t"), template=lambda u: F.concat(F.lit("<u>"), u)).alias("own")).first()
+    assert (p.llama, p.qwen, p.other, p.own) == ("<s>[INST] I\n\nx\ny [/INST]", "<|im_start|>user\nI\n\nx\ny\n<|im_start|>assistant\n", p.llama, "<u>I\n\nt")
+    kind = "array<struct<chars:bigint,prompt:bigint,output:bigint>>"
+    d = spark.createDataFrame([([(10, 5, 2), (8, 9, 1)], 10), ([], 4), ([(4, 3, 0)], 4)], f"w {kind}, chars long")
+    got = [tuple(r.x) for r in d.select(token_stats(F.col("w"), F.col("chars"), 20, 12).alias("x")).collect()]
+    assert got == [(2, 14, 3, 10, 3, True), (0, 0, 0, 0, 12, False), (1, 3, 0, 3, 9, False)]
