@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import delete_tables, materialize
 from spanloom.llm.textvec import PLACE, Words, mix, slices
 
 U = np.uint64
@@ -202,6 +202,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     copies = prints.groupBy("t1", "t2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
     copies = materialize(copies, "sub-groups")  # a table of its own, so that Spark can split the join's hot keys
     copied = materialize(prints.join(copies, ["t1", "t2"]).select("rid", (F.col("rid") == F.col("rep")).alias("is_rep")).distinct(), "sub-copies")
+    delete_tables(copies)
 
     found = base.select("rid", "text").mapInArrow(_emit_anchors(window), "name long, rid long, place long")
     shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name")
@@ -211,10 +212,12 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     todo = base.select("rid", "text").join(spots, "rid", "left").join(copied.where("not is_rep").select("rid"), "rid", "left_anti")
     windows = todo.select("rid", "text", "places").mapInArrow(_emit_windows(window), "rid long, starts array<int>, h1 array<long>, h2 array<long>")
     windows = materialize(windows.where(F.size("starts") > 0), "sub-windows")
+    delete_tables(shared, spots)
     each = windows.select("rid", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("rid", F.col("w.starts").alias("start"), "w.h1", "w.h2")
     twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
     twice = materialize(twice, "sub-twice")
     repeated = materialize(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("start").alias("starts")), "sub-repeated")
+    delete_tables(windows, twice)
 
     marks = repeated.join(copied.select("rid", F.lit(True).alias("whole")), "rid", "full_outer").select("rid", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
     out = base.join(marks, "rid", "left").select("doc_id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
