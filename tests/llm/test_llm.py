@@ -372,6 +372,42 @@ def test_ann_in_many_shares(spark):
     assert of == {0: [1, 2, 3], 1: [0, 2, 3], 7: [0, 1, 2], 499: [0, 1, 2]}
 
 
+@pytest.mark.parametrize("kind", ["clusters", "offset", "one wide component", "huge", "tiny", "scaled copies", "one id, many vectors"])
+def test_ann_of_other_rows(spark, kind):
+    """Rows that codes of the whole vector hardly tell apart, far more of them than are reranked at first; equal to brute force."""
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(2400, 24)), np.arange(2400)
+    if kind == "clusters":
+        x = rng.normal(size=(2, 24))[ids % 2] + 0.01 * x
+    elif kind == "offset":
+        x = x + 5
+    elif kind == "one wide component":
+        x[:, 0] *= 100
+    elif kind in ("huge", "tiny"):
+        x = x * (1e200 if kind == "huge" else 1e-200)
+    elif kind == "scaled copies":
+        x[:1200] = x[0] * rng.uniform(0.5, 2, size=(1200, 1)) + 1e-7 * x[:1200]
+    else:
+        x[50:650] = x[0] + 0.001 * x[50:650]
+        ids[50:650] = 50
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert set(got) == {i for i in ids.tolist() if i % 100 == 0}
+    for q, found in got.items():
+        s = unit @ unit[np.flatnonzero(ids == q)[0]]
+        best = {}
+        for i, c in zip(ids.tolist(), s.tolist(), strict=True):
+            if i != q:
+                best[i] = max(c, best.get(i, -2.0))
+        want = sorted(best.values(), reverse=True)[:5]
+        assert len({i for i, _ in found}) == 5
+        assert np.allclose([c for _, c in found], want, rtol=0, atol=1e-13) and np.allclose([best[i] for i, _ in found], want, rtol=0, atol=1e-13)
+
+
 def test_components_of_stars_and_chains(spark):
     edges = [(1000, i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(200)] + [(3000 + (i * 37) % 101, 3000 + ((i + 1) * 37) % 101) for i in range(100)] + [(5, 5), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect())
