@@ -148,7 +148,7 @@ def search(index: Index, x: np.ndarray, ids: list[list[int]], pairs: np.ndarray,
     w = -across, or the least of all, if that lies above t."""
     reach = np.hypot(along, across)
     turn = -along / np.maximum(reach, 1e-300)  # the cosine with the least sum
-    norms, near = np.linalg.norm(x, axis=1), np.where(along > 1e-6, along, np.inf).astype(np.float32)
+    norms, near = np.sqrt(np.einsum("nj,nj->n", x, x)), np.where(along > 1e-6, along, np.inf).astype(np.float32)
     blur = 8 * x.shape[1] * np.finfo(float).eps  # more than the rounding of a cosine
     for lo in range(0, len(q), 64):
         few = q[lo : lo + 64]
@@ -223,10 +223,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         index = shared.value
         for b in batches:
             if len(b):
-                unit = index.unit(matrix(b.column(0)))
+                x = level(matrix(b.column(0)))
+                unit = index.unit(x)
                 codes = index.encode(unit, 4.0)
                 packed = codes[:, 0::2] * np.uint8(16) + codes[:, 1::2]
-                columns = [*b.columns, pa.array(index.leaf(unit)[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary()), *map(pa.array, index.errors(unit, codes))]
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * d)
+                columns = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())), b.column(1), pa.array(index.leaf(unit)[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary()), *map(pa.array, index.errors(unit, codes))]
                 yield pa.RecordBatch.from_arrays(columns, names=["v", "ids", "leaf", "codes", "along", "across"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def scan(key, left, right):
         out = {c: [] for c in ("q", "vec_id", "score")}
         if left.num_rows and right.num_rows:
-            x, q = level(matrix(left.column("v"))), level(matrix(right.column("v")))
+            x, q = matrix(left.column("v")), level(matrix(right.column("v")))
             ids, numbers = left.column("ids").to_pylist(), right.column("q").to_pylist()
             pairs = np.frombuffer(b"".join(left.column("codes").to_pylist()), dtype=np.uint8).reshape(len(x), -1).T.copy()
             # the k + 1 nearest ids, the query's own perhaps among them
