@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 from spanloom.functions.prompts import token_stats
-from spanloom.operators import sampling
+from spanloom.operators import sampling, text
 from spanloom.operators.ranks import at_rank, between_ranks, positions, value_ranks
-from spanloom.plans.more import _EXAMPLES, _IDS, ask, window_rows
+from spanloom.plans.more import _EXAMPLES, _IDS, ask
 from spanloom.plans.registry import _WINDOWS
 from spanloom.sources.shared import fresh_path
 
@@ -22,13 +22,13 @@ _FLAGS = {
 @ask("SELECT CAST(sum(n) AS BIGINT) AS input_examples, CAST(sum(e + k + d) AS BIGINT) AS output_examples, CAST(sum(o - k) AS BIGINT) AS o_only_dropped, CAST(sum(d) AS BIGINT) AS author_duplicates_added, count(*) AS segments FROM w_per", **_WINDOWS, **_EXAMPLES, **_FLAGS)
 def balance_report(v):
     """Training windows before and after balancing. A window has an entity if a label within its first 14 tokens or one of its annotations says so;
-    entity windows of a segment with an author stand twice."""
-    seen = F.slice("tags", 1, 14)
-    ent = F.exists(seen, lambda t: t != "O") | (F.size("window_annotations") > 0)
-    author = v.arrays.select("segment_id", F.exists("annotations", lambda a: a["label"] == "author").alias("author"))
-    w = window_rows(v).join(author, "segment_id")
-    aut = F.exists(seen, lambda t: t.endswith("AUTHOR")) | (F.col("author") & ent)
-    return sampling.balance_counts(w.select(F.concat_ws("|", "segment_id", "side", "slide_index").alias("key"), "segment_id", ent.alias("has_entity"), aut.alias("has_author")))
+    entity windows of a segment with an author stand twice. A window's labels come from annotations that lie whole in it, so that these alone
+    tell both."""
+    at = lambda i, c: F.get("offsets", i)[c]
+    holds = lambda w: F.exists("annotations", lambda a: (a["span_start"] >= at(w["start_tok"], "start")) & (a["span_end"] <= at(w["end_tok"] - 1, "end")))
+    author = F.exists("annotations", lambda a: a["label"] == "author")
+    w = text.with_windows(v.arrays, 16, 8, 4).select("segment_id", author.alias("author"), F.explode(F.transform("ws", holds)).alias("entity"))
+    return sampling.balance_counts(w.select("segment_id", F.col("entity").alias("has_entity"), (F.col("author") & F.col("entity")).alias("has_author")))
 
 
 _GEN = {

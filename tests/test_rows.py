@@ -117,6 +117,18 @@ def test_balance_counts(spark):
     assert tuple(r) == (13, 12, 4, 3, 2)
 
 
+def test_balance_counts_are_those_of_balance_without_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", f"s{rng.integers(12)}", bool(rng.random() < 0.3), bool(rng.random() < 0.5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, segment_id string, has_entity boolean, has_author boolean")
+    for ratio, oversample in ((2.0, 2), (0.5, 3)):
+        counts, kept = sampling.balance_counts(df, ratio, oversample), sampling.balance(df, ratio, oversample)
+        plain = df.where("not has_entity").count() - kept.where("not has_entity").count()
+        assert tuple(counts.first()) == (300, kept.count(), plain, kept.where("copy > 1").count(), 12)
+        assert "Window" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(sampling.balance_counts(df.limit(0)).first()) == (0, 0, 0, 0, 0)
+
+
 @pytest.mark.parametrize("check, args", [(guards.ratios, (0.5, 0.4, 0.2)), (guards.ratios, (1.2, -0.1, -0.1)), (guards.fraction, (0,)), (guards.fraction, (1.5,)), (guards.worker, (3, 3)), (guards.worker, (0, 0))])
 def test_guards_raise(check, args):
     with pytest.raises(ValueError):
