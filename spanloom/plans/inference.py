@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import adapters, labels, text
-from spanloom.plans.more import _WTAGS, ask, examples, merge_votes, window_rows
+from spanloom.plans.more import _WTAGS, ask, examples, window_rows
 from spanloom.plans.registry import _PRF, _WINDOWS
 
 NAMES = ["O", "B-TITLE", "I-TITLE", "B-AUTHOR", "I-AUTHOR"]
@@ -46,15 +46,16 @@ def predicted(v) -> DataFrame:
     return adapters.predict(w, lambda: stub_model())
 
 
+def said_spans(v) -> DataFrame:
+    """Segments with their tokens' offsets and the spans that a stub model finds in them, in place."""
+    toks = adapters.tokenize(v.segs, adapters.delimiter_tokenizer(" ")).withColumn("n_tok", F.size("offsets"))
+    return adapters.predict_spans(text.with_windows(toks, 16, 8, 4).drop("n_tok"), lambda: stub_model(), NAMES, 14)
+
+
 @ask("SELECT * FROM merged", **_WINDOWS, **_VOTE)
 def merge_predictions(v):
     """A stub model's labels of every window, merged to spans of the segment; both the tokenizer and the model are plug-ins."""
-    place = F.when(F.col("side") == "end", F.col("slide_index") + 4).otherwise(F.col("slide_index"))
-    each = predicted(v).select("segment_id", place.alias("place"), F.explode(F.arrays_zip("offsets", "label_ids", "confidences")).alias("x"))
-    each = each.where("x.offsets.end > x.offsets.start and x.label_ids >= 0")
-    names = F.array(*map(F.lit, NAMES))
-    votes = each.select("segment_id", "place", "x.offsets.start", "x.offsets.end", F.get(names, F.col("x.label_ids")).alias("tag"), F.round("x.confidences", 9).alias("conf"))  # sums in another order differ in their last digits
-    return merge_votes(votes).select("segment_id", "label", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
+    return said_spans(v).select("segment_id", F.explode("spans").alias("s")).select("segment_id", "s.label", "s.span_start", "s.span_end")
 
 
 @ask("SELECT segment_id, side, CAST(slide_index AS BIGINT) AS slide_index, tok, tag FROM w_all", **_WINDOWS, **_WTAGS)

@@ -165,6 +165,36 @@ def test_wrong_scores_raise(spark):
         adapters.predict(df, lambda: lambda ids, mask: np.zeros((1, 1, 2))).collect()
 
 
+def test_windows_are_merged_in_place_as_votes_are(spark):
+    from spanloom.plans.more import merge_votes
+
+    rng = np.random.default_rng(9)
+    names = ["O", "B-TITLE", "I-TITLE", "B-AUTHOR", "I-AUTHOR"]
+    data = [(f"s{i}", " ".join("x" * int(k) for k in rng.integers(1, 6, int(n)))) for i, n in enumerate([0, 1, 2, 15, 16, 17, 18, 40, *rng.integers(1, 90, 30)])]
+    toks = adapters.tokenize(spark.createDataFrame([*data, ("null", None)], "segment_id string, text string"), adapters.delimiter_tokenizer(" ")).withColumn("n_tok", F.size("offsets"))
+
+    def model():
+        return lambda ids, mask: np.eye(5)[(ids * 3 + np.arange(ids.shape[1]) * 5) % 5] * (1 + ids[..., None] * 7 % 4)
+
+    rows = text.with_windows(toks, 16, 8, 4).drop("n_tok")
+    whole = {r.segment_id: r.spans for r in adapters.predict_spans(rows, model, names, 14).collect()}
+    assert whole["null"] is None and whole["s0"] == []
+    few = {r.segment_id: r.spans for r in adapters.predict_spans(rows, model, names, 14, most_places=40).collect()}
+    w = rows.select("segment_id", "token_ids", "offsets", F.explode("ws").alias("w"))
+    part = F.slice(F.arrays_zip("token_ids", "offsets"), F.col("w.start_tok") + 1, F.least(F.col("w.end_tok") - F.col("w.start_tok"), F.lit(14)))
+    w = w.select("segment_id", F.when(F.col("w.side") == "end", F.col("w.slide_index") + 4).otherwise(F.col("w.slide_index")).alias("place"), part.alias("p")).where(F.size("p") > 0)
+    ids = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["token_ids"]), F.array(F.lit(2)), F.array_repeat(F.lit(1), F.lit(14) - F.size("p")))
+    said = adapters.predict(w.withColumn("input_ids", ids).withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1))), model)
+    own = F.arrays_zip("p", F.slice("label_ids", F.lit(2), F.size("p")).alias("l"), F.slice("confidences", F.lit(2), F.size("p")).alias("c"))
+    votes = said.select("segment_id", "place", F.explode(own).alias("x")).select("segment_id", "place", "x.p.offsets.start", "x.p.offsets.end", F.get(F.array(*map(F.lit, names)), F.col("x.l")).alias("tag"), F.round("x.c", 9).alias("conf"))
+    want: dict = {}
+    for r in merge_votes(votes).collect():
+        want.setdefault(r.segment_id, set()).add((r.span_start, r.span_end, r.label))
+    assert len(want) > 20
+    for got in (whole, few):
+        assert {k: set(map(tuple, x)) for k, x in got.items() if x} == want and all(x is None or x == sorted(x) for x in got.values())
+
+
 # --- text windows and crops ---
 
 

@@ -44,6 +44,17 @@ def test_exact_match_counts_a_repeated_prediction_twice(spark, tmp_path):
     assert got == want and (2.0, 3.0, "63:0", 0.0) in got
 
 
+@pytest.mark.parametrize("name", ["side_by_side"])
+def test_two_runs_are_scored_without_a_shuffle_of_tokens(spark, monkeypatch, name):
+    from spanloom.sources import metric_files
+
+    plans = []
+    write = metric_files.write_runs
+    monkeypatch.setattr(metric_files, "write_runs", lambda runs, path: (plans.append(runs._jdf.queryExecution().optimizedPlan().toString()), write(runs, path)))
+    assert registry.queries()[name](spark, DATA).count() > 0
+    assert len(plans) == 1 and plans[0].count("Relation [") == 1 and "Join" not in plans[0] and "Window" not in plans[0]
+
+
 def test_entry(spark):
     import __spark_entry__
 
