@@ -44,7 +44,7 @@ def test_exact_match_counts_a_repeated_prediction_twice(spark, tmp_path):
     assert got == want and (2.0, 3.0, "63:0", 0.0) in got
 
 
-@pytest.mark.parametrize("name", ["side_by_side"])
+@pytest.mark.parametrize("name", ["side_by_side", "leaderboard"])
 def test_two_runs_are_scored_without_a_shuffle_of_tokens(spark, monkeypatch, name):
     from spanloom.sources import metric_files
 
