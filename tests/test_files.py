@@ -131,6 +131,21 @@ def test_pairs_correspond_by_number(spark, tmp_path, per_file):
                 assert (meta["input"], meta["task"], meta["split"]) == (r.input, task, split) and r.row_id == meta["id"] and r.input == f"in\n{r.row_id[2:]}"
 
 
+def test_pairs_leave_their_files_alone_on_disk(spark, tmp_path, monkeypatch):
+    """Written in several passes and read again, compressed; no table or copy of lines stays beside them."""
+    monkeypatch.setattr("spanloom.sources.shared.shared_dir", lambda _: f"file://{tmp_path}/shared")
+    rows = spark.range(500).select(F.concat(F.lit("id"), "id").alias("id"), F.lit("title").alias("task"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"), F.lit("say").alias("instruction"), F.repeat(F.col("id").cast("string"), F.lit(50)).alias("input"), F.lit("o").alias("output"))
+    path = str(tmp_path / "out")
+    paired.write_pairs(rows, path, ["instruction", "input", "output"], ["id"], per_file=7, at_once=150)
+    want = {s: [r.id for r in rows.where(F.col("split") == s).orderBy(F.md5(F.to_json(F.struct("id")))).collect()] for s in ("train", "val")}
+    for split, ids in want.items():
+        got = paired.read_pairs(spark, path, "title", split).orderBy("line_idx").collect()
+        assert [r.row_id for r in got] == ids and [r.line_idx for r in got] == list(range(len(ids)))
+        assert all(r.input == r.row_id[2:] * 50 for r in got)
+    size = lambda p, suffix="": sum(f.stat().st_size for f in p.rglob(f"*{suffix}") if f.is_file() and not f.name.endswith(".crc"))
+    assert size(tmp_path / "shared") < 20_000 and 0 < size(tmp_path / "out", ".gz") < 500 * 300 and not list((tmp_path / "out").rglob("*.txt"))[3:]
+
+
 # --- the stream's sink ---
 
 
